@@ -11,13 +11,15 @@ SPACE_CHARS = (
 )
 SPACE = f"[{SPACE_CHARS}]"
 NON_SPACE = f"[^{SPACE_CHARS}]"
-# The lookbehind keeps the right strip linear on long inner runs of blanks.
-STRIP_RE = rf"^{SPACE}+|(?<!{SPACE}){SPACE}++\z"
+SPACE_STRING = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000])
+)
 ENTITY_PIECE_RE = r"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&|[^&]++"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, STRIP_RE, "")
+    return F.btrim(col, F.lit(SPACE_STRING))
 
 
 def words(col: Column) -> Column:

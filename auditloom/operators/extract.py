@@ -16,7 +16,7 @@ from auditloom.operators.tokens import page_signals
 
 def _ordered(condition: Column, *fields: Column) -> Column:
     """Collected structs in token order; the first field is the position."""
-    return F.array_sort(F.collect_list(F.when(condition, F.struct(*fields))))
+    return F.sort_array(F.collect_list(F.when(condition, F.struct(*fields))))
 
 
 def _texts(first: Column, last: Column) -> Column:
