@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditloom.functions.cached import per_context
 from auditloom.functions.text import decode_entities
 
 # Quotes only open after '='. Possessive quantifiers keep every branch linear and iterative.
@@ -47,8 +48,8 @@ def html_token_array(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN_RE), F.lit(1))
 
 
-def _attr_text(raw: Column, name: str) -> Column:
-    """The first occurrence of an attribute with its value, '' when the tag lacks it."""
+def attr_source(raw: Column, name: str) -> Column:
+    """The first occurrence of an attribute as written, name and value; '' when the tag lacks it."""
     value = r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
     pattern = (
         rf"(?is)^<[^\s/>]++(?:[\s/]++(?!{name}[\s=/>])[^\s=/>]++{value})*+[\s/]++({name}(?=[\s=/>]){value})"
@@ -56,14 +57,15 @@ def _attr_text(raw: Column, name: str) -> Column:
     return F.regexp_extract(raw, pattern, 1)
 
 
-def has_attr(raw: Column, name: str) -> Column:
-    return _attr_text(raw, name) != ""
-
-
-def attr(raw: Column, name: str) -> Column:
-    """Attribute value with entities decoded; '' for a bare attribute, NULL when absent."""
-    found = _attr_text(raw, name)
-    value = F.regexp_replace(found, rf"(?is)^{name}\s*=?\s*", "")
+def attr_value(source: Column) -> Column:
+    """Value of an attribute as written, quotes taken off; '' for a bare attribute, NULL when absent."""
+    value = F.regexp_replace(source, r"(?s)^[^\s=]+\s*=?\s*", "")
     quoted = F.substring(value, 1, 1).isin('"', "'") & (F.length(value) > 1)
     bare = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return F.when(found != "", decode_entities(bare))
+    return F.when(source != "", bare)
+
+
+@per_context
+def attr(name: str) -> Column:
+    """An attribute of the tag in column `raw`, entities decoded."""
+    return decode_entities(attr_value(attr_source(F.col("raw"), name)))

@@ -42,31 +42,30 @@ def half_even(col: Column) -> Column:
     return F.rint(col.cast("double")).cast("int")
 
 
-def _code_point(n: Column) -> Column:
+def _code_point(digits: Column, base: int) -> Column:
+    n = F.conv(digits, base, 10).cast("bigint")
     text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     return F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), text).otherwise("")
 
 
 def _named_entities() -> Column:
-    # The table comes from the standard library, not from a list of our own.
-    pairs = []
-    for name, point in sorted(name2codepoint.items()):
-        pairs += [F.lit(f"&{name};"), F.lit(chr(point))]
-    return F.create_map(*pairs)
+    # The table comes from the standard library, not from a list of our own. One literal keeps the plan
+    # small; the optimizer folds the map.
+    pairs = "\n".join(f"&{name};\t{chr(point)}" for name, point in sorted(name2codepoint.items()))
+    return F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
 
 
 def decode_entities(col: Column) -> Column:
     """Decode named and numeric character references in one left-to-right pass."""
 
     def piece(p: Column) -> Column:
-        digits = F.regexp_extract(p, r"^&#([0-9]{1,9});?$", 1)
-        hexes = F.regexp_extract(p, r"^&#[xX]0*([0-9a-fA-F]{1,7});?$", 1)
+        named = F.coalesce(F.try_element_at(_named_entities(), p), p)
         return (
             F.when(~p.startswith("&"), p)
-            .when(digits != "", _code_point(digits.cast("bigint")))
-            .when(hexes != "", _code_point(F.conv(hexes, 16, 10).cast("bigint")))
-            .when(p.startswith("&#") & (F.length(p) > 2), F.lit(""))
-            .otherwise(F.coalesce(F.try_element_at(_named_entities(), p), p))
+            .when(p.rlike("^&#[0-9]{1,9};?$"), _code_point(F.regexp_extract(p, "[0-9]+", 0), 10))
+            .when(p.rlike("^&#[xX]0*[0-9a-fA-F]{1,7};?$"), _code_point(F.regexp_extract(p, "(?<=[xX])[0-9a-fA-F]+", 0), 16))
+            .when(p.rlike("^&#."), F.lit(""))
+            .otherwise(named)
         )
 
     decoded = F.array_join(

@@ -1,10 +1,12 @@
-"""URL resolution and normalisation.
+"""URL resolution and normalisation as Column expressions.
 
-`resolve_links` and `normalize_links` add columns stage by stage, so each regex over a URL runs once per
-row instead of once per mention in one large expression.
+Intermediate values are bound with `let`, so each regex over a URL runs once per row and the expression
+stays small wherever the optimizer moves it.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -62,56 +64,73 @@ def _remove_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), flat).otherwise(path)
 
 
-def resolve_links(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
-    """Add `out`, the absolute form of `href` seen from the page `base` (an http or https URL)."""
-    c = F.col
-    keep = [x for x in df.columns if x != out]
-
-    def part(name: str, group: int) -> Column:
-        return F.regexp_extract(c(name), SPLIT_RE, group)
-
-    df = df.withColumns(
-        {"_h": _clean(c(href)), "_b": F.when(c(href).isNotNull(), _clean(c(base)))}
-    ).withColumns(
-        {
-            "_hs": scheme(c("_h")),
-            "_ha": part("_h", 1),
-            "_hp": part("_h", 2),
-            "_hq": _nonempty(part("_h", 3)),
-            "_hf": _nonempty(part("_h", 4)),
-            "_bs": scheme(c("_b")),
-            "_ba": part("_b", 1),
-            "_bp": part("_b", 2),
-            "_bq": _nonempty(part("_b", 3)),
-        }
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and give it to `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(url: Column, prefix: str) -> list[Column]:
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, SPLIT_RE, group)
+
+    return [
+        scheme(url).alias(f"{prefix}_scheme"),
+        part(1).alias(f"{prefix}_authority"),
+        part(2).alias(f"{prefix}_path"),
+        _nonempty(part(3)).alias(f"{prefix}_query"),
+        _nonempty(part(4)).alias(f"{prefix}_fragment"),
+    ]
+
+
+def _resolve_cleaned(u: Column) -> Column:
+    """`u` holds the cleaned link and base."""
+    return let(
+        F.struct(u.href.alias("href"), u.base.alias("base"), *_parts(u.href, "h"), *_parts(u.base, "b")),
+        _resolve_parts,
+    )
+
+
+def _resolve_parts(p: Column) -> Column:
+    folder = F.when(p.b_path == "", F.lit("/")).otherwise(F.regexp_replace(p.b_path, r"[^/]*$", ""))
+    merged = F.when(p.h_path.startswith("/"), p.h_path).otherwise(_squeeze(F.concat(folder, p.h_path)))
+    rooted = let(
+        let(merged, _remove_dots),
+        lambda x: F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x)),
     )
-    folder = F.when(c("_bp") == "", F.lit("/")).otherwise(F.regexp_replace(c("_bp"), r"[^/]*$", ""))
-    merged = F.when(c("_hp").startswith("/"), c("_hp")).otherwise(_squeeze(F.concat(folder, c("_hp"))))
-    df = df.withColumn("_merged", merged).withColumn("_flat", _remove_dots(c("_merged")))
-    rooted = F.when(c("_flat").startswith("/"), c("_flat")).otherwise(F.concat(F.lit("/"), c("_flat")))
-    prefix = F.concat(c("_bs"), F.lit(":"))
-    absolute = (
-        F.when(c("_h") == "", c("_b"))
-        .when((c("_hs") != "") & (c("_hs") != c("_bs")), c("_h"))
-        .when(F.length("_ha") > 2, F.concat(prefix, c("_ha"), c("_hp"), c("_hq"), c("_hf")))
+    start = F.concat(p.b_scheme, F.lit(":"))
+    own_query = F.when(p.h_query != "", p.h_query).otherwise(p.b_query)
+    return (
+        F.when(p.href == "", p.base)
+        .when((p.h_scheme != "") & (p.h_scheme != p.b_scheme), p.href)
         .when(
-            c("_hp") == "",
-            F.concat(
-                prefix, c("_ba"), c("_bp"), F.when(c("_hq") != "", c("_hq")).otherwise(c("_bq")), c("_hf")
-            ),
+            F.length(p.h_authority) > 2,
+            F.concat(start, p.h_authority, p.h_path, p.h_query, p.h_fragment),
         )
-        .otherwise(F.concat(prefix, c("_ba"), rooted, c("_hq"), c("_hf")))
+        .when(p.h_path == "", F.concat(start, p.b_authority, p.b_path, own_query, p.h_fragment))
+        .otherwise(F.concat(start, p.b_authority, rooted, p.h_query, p.h_fragment))
     )
-    return df.select(*keep, absolute.alias(out))
 
 
-def normalize_links(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
-    """Add `out`, the same-host link in canonical form: no query, fragment, port or user, all lower
-    case, no trailing slashes; NULL for anything that leaves the host."""
-    keep = [x for x in df.columns if x != out]
-    df = resolve_links(df, href, base, "_abs").withColumns(
-        {"_scheme": scheme(F.col("_abs")), "_host": host(F.col("_abs")), "_path": url_path(F.col("_abs"))}
-    )
-    inside = F.col("_scheme").isin("http", "https") & (F.col("_host") == host(F.col(base)))
-    flat = F.lower(F.concat("_scheme", F.lit("://"), "_host", "_path"))
-    return df.select(*keep, F.when(inside, F.regexp_replace(flat, "/+$", "")).alias(out))
+def resolve(href: Column, base: Column) -> Column:
+    """Absolute form of `href` seen from the page `base` (an http or https URL)."""
+    cleaned = F.struct(_clean(href).alias("href"), _clean(base).alias("base"))
+    return F.when(href.isNotNull() & base.isNotNull(), let(cleaned, _resolve_cleaned))
+
+
+def normalize(href: Column, base: Column) -> Column:
+    """Same-host link in canonical form: no query, fragment, port or user, all lower case, no trailing
+    slashes; NULL for anything that leaves the host."""
+
+    def finish(url: Column) -> Column:
+        parts = F.struct(
+            scheme(url).alias("scheme"), host(url).alias("host"), url_path(url).alias("path"), host(base).alias("home")
+        )
+        return let(
+            parts,
+            lambda u: F.when(
+                u.scheme.isin("http", "https") & (u.host == u.home),
+                F.regexp_replace(F.lower(F.concat(u.scheme, F.lit("://"), u.host, u.path)), "/+$", ""),
+            ),
+        )
+
+    return F.when(href.isNotNull(), let(resolve(href, base), finish))

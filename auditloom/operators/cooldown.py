@@ -8,17 +8,21 @@ partition moves the time until which its leading client is blocked, the sums are
 the second scan starts every partition from the right state.
 """
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
 from auditloom.session import checkpoint
 
+# task functions travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TTL_SECONDS = 300
 NEVER = np.iinfo(np.int64).min
 
@@ -32,16 +36,14 @@ def client_key(forwarded: Column, peer: Column | None = None) -> Column:
 def chain(times: np.ndarray, starts: np.ndarray, blocked: int, wait: int) -> tuple[np.ndarray, int]:
     """Admissions in one batch of times sorted within segments; `starts` are the first indexes of the
     segments and `blocked` bounds the first one. Gives the mask and the last segment's blocked-until."""
-    n = len(times)
+    n, sizes = len(times), np.diff(np.append(starts, len(times)))
+    segment = np.repeat(np.arange(len(starts)), sizes)
+    # put the segments on one axis, each far enough from the next for a wait not to reach it
+    spans = times[starts + sizes - 1] - times[starts] + wait + 1
+    scale = times - np.repeat(times[starts] - (np.cumsum(spans) - spans), sizes)
     mask = np.zeros(n, dtype=bool)
-    segment = np.zeros(n, dtype=np.int64)
-    segment[starts[1:]] = 1
-    segment = np.cumsum(segment)
-    low = int(times.min())
-    span = int(times.max()) - low + wait + 1
-    scale = times - low + segment * span
     current = starts.copy()
-    current[0] = np.searchsorted(scale, min(max(blocked - low, 0), span - 1))
+    current[0] = np.searchsorted(scale, min(max(blocked - int(times[0]), 0), int(spans[0]) - 1))
     owner = np.arange(len(starts))
     last = len(starts) - 1
     until = blocked if last == 0 else NEVER
@@ -84,10 +86,10 @@ def _summaries(wait: int):
             if clients[0] == lead:
                 stop = starts[1] if len(starts) > 1 else len(times)
                 own = times[:stop]
-                new = own[own < first + wait] if len(entries) == 0 or own[0] < first + wait else own[:0]
-                rest_first = own[own >= first + wait][:1]
-                if len(rest_first) and (len(entries) == 0 or entries[-1] < first + wait):
-                    new = np.concatenate([new, rest_first])
+                # candidates: all times within one wait of the first, and the next one after them
+                new = own[own < first + wait]
+                if len(entries) == 0 or entries[-1] < first + wait:
+                    new = own[: len(new) + 1]
                 entries = np.concatenate([entries, new])
                 exits = np.concatenate([exits, new])
                 while True:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import html as H
 from auditloom.functions import text as T
 from auditloom.functions import variants as V
+from auditloom.functions.cached import per_context
 from auditloom.operators.tokens import page_signals
 
 
@@ -75,11 +76,12 @@ def collect_signals(signals: DataFrame) -> DataFrame:
     )
 
 
-def extract_pages(collected: DataFrame) -> DataFrame:
+@per_context
+def _extract_stages() -> list[dict[str, Column]]:
+    """The columns of a parsed page, in stages."""
     c = F.col
-    span = c("title_span")
-    only_child = F.get(c("texts"), span.pos + 1)
-    title = F.when(span.end_pos - span.pos == 2, F.nullif(only_child.exact, F.lit("")))
+    only_child = F.get(c("texts"), c("title_span.pos") + 1)
+    title = F.when(c("title_span.end_pos") - c("title_span.pos") == 2, F.nullif(only_child.exact, F.lit("")))
 
     def heading(h: Column) -> Column:
         parts = F.transform(
@@ -103,34 +105,36 @@ def extract_pages(collected: DataFrame) -> DataFrame:
             s.val.alias("text"), V.parse_json_strict(s.val).alias("node"), V.json_depth(s.val).alias("depth")
         ),
     )
-    out = collected.withColumns(
-        {
-            "body_text_content": body,
-            "_blocks": F.filter(parsed, lambda b: b.node.isNotNull()),
-        }
-    ).withColumns(
+    return [
+        {"body_text_content": body, "_blocks": F.filter(parsed, lambda b: b.node.isNotNull())},
         {
             "_nodes": F.transform("_blocks", lambda b: b.node),
             "_depth": F.coalesce(F.array_max(F.transform("_blocks", lambda b: b.depth)), F.lit(0)),
-        }
-    )
-    return out.select(
-        "page.*",
-        T.word_count(c("body_text_content")).alias("word_count"),
-        (F.size("_blocks") > 0).alias("has_schema"),
-        "images_without_alt",
-        title.alias("title"),
-        c("description.val").alias("meta_description"),
-        c("robots.val").alias("meta_robots"),
-        c("canonical.val").alias("canonical_url"),
-        "body_text_content",
-        F.transform("heads", heading).alias("headings"),
-        F.transform("links", lambda x: x.val).alias("internal_links"),
-        F.transform("_blocks", lambda b: b.text).alias("json_ld_schema"),
-        F.array_sort(F.array_distinct(V.schema_types(c("_nodes"), c("_depth")))).alias("schema_types"),
-        V.faq_items(c("_nodes"), c("_depth")).alias("faq_items"),
-        F.transform("heads", section).alias("sections"),
-    )
+        },
+        {
+            "word_count": T.word_count(c("body_text_content")),
+            "has_schema": F.size("_blocks") > 0,
+            "images_without_alt": c("images_without_alt"),
+            "title": title,
+            "meta_description": c("description.val"),
+            "meta_robots": c("robots.val"),
+            "canonical_url": c("canonical.val"),
+            "body_text_content": c("body_text_content"),
+            "headings": F.transform("heads", heading),
+            "internal_links": F.transform("links", lambda x: x.val),
+            "json_ld_schema": F.transform("_blocks", lambda b: b.text),
+            "schema_types": F.array_sort(F.array_distinct(V.schema_types(c("_nodes"), c("_depth")))),
+            "faq_items": V.faq_items(c("_nodes"), c("_depth")),
+            "sections": F.transform("heads", section),
+        },
+    ]
+
+
+def extract_pages(collected: DataFrame) -> DataFrame:
+    *early, last = _extract_stages()
+    for stage in early:
+        collected = collected.withColumns(stage)
+    return collected.select("page.*", *[column.alias(name) for name, column in last.items()])
 
 
 def parse_pages(pages: DataFrame, clustered: bool = False) -> DataFrame:

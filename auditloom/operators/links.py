@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import html as H
 from auditloom.functions import text as T
-from auditloom.functions.urls import host, normalize_links, url_path
+from auditloom.functions.urls import host, normalize, url_path
 from auditloom.operators.tokens import html_tokens
 from auditloom.session import checkpoint
 
@@ -19,9 +19,13 @@ LINE_BREAK_RE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 def crawl_links(pages: DataFrame) -> DataFrame:
     """Same-host links of each page in document order, navigation included. No exchange."""
     tokens = html_tokens(pages).where("tag = 'a' AND kind IN ('open', 'void')")
-    hrefs = tokens.withColumn("href", H.attr(F.col("raw"), "href")).where("href IS NOT NULL")
-    links = normalize_links(hrefs.drop("raw", "kind", "tag"), "href", "url", "target")
-    return links.where("target IS NOT NULL")
+    target = normalize(H.attr("href"), F.col("url"))
+    return tokens.select(*[c for c in tokens.columns if c not in ("raw", "kind", "tag")], _each(target, "target"))
+
+
+def _each(value: Column, name: str) -> Column:
+    """The value as rows: one, or none when it is NULL. Unlike a filter on it, evaluated once."""
+    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(name)
 
 
 def _unquote(col: Column) -> Column:
@@ -125,15 +129,13 @@ def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame) -> DataFrame:
     """Captures with status 200 as edges (url, page_id, pos, target); one NULL target row per page."""
     ok = pages.where("status_code = 200").select("page_id", F.col("url").alias("_own"), "html")
-    ok = normalize_links(ok, "_own", "_own", "url").drop("_own").where("url IS NOT NULL")
+    ok = ok.select("page_id", "html", _each(normalize(F.col("_own"), F.col("_own")), "url"))
     tokens = html_tokens(ok)
     is_link = F.coalesce((F.col("tag") == "a") & F.col("kind").isin("open", "void"), F.lit(False))
-    tokens = tokens.where(is_link | (F.coalesce("pos", F.lit(0)) == 0))
-    hrefs = tokens.select(
-        "page_id", "url", F.coalesce("pos", F.lit(0)).alias("pos"), F.when(is_link, H.attr(F.col("raw"), "href")).alias("href")
-    )
-    edges = normalize_links(hrefs, "href", "url", "target").drop("href")
-    return edges.where("target IS NOT NULL OR pos = 0")
+    tokens = tokens.withColumn("pos", F.coalesce("pos", F.lit(0))).where(is_link | (F.col("pos") == 0))
+    target = F.when(is_link, normalize(H.attr("href"), F.col("url")))
+    wanted = F.filter(F.array(target), lambda x: x.isNotNull() | (F.col("pos") == 0))
+    return tokens.select("page_id", "url", "pos", F.explode(wanted).alias("target"))
 
 
 def crawl_replay(
@@ -156,8 +158,8 @@ def crawl_replay(
     of each site.
     """
     need = limit + 2
-    sites = normalize_links(seeds, "seed_url", "seed_url", "url").where("url IS NOT NULL")
-    sites = sites.select("site_id", "url", host(F.col("url")).alias("_host"))
+    sites = seeds.select("site_id", _each(normalize(F.col("seed_url"), F.col("seed_url")), "url"))
+    sites = sites.withColumn("_host", host(F.col("url")))
     if robots is None:
         sites = sites.withColumn("rules", F.array().cast("array<struct<line:int,allow:boolean,path:string>>"))
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
+from auditloom.functions.cached import per_context
 from auditloom.schemas import (
     CATEGORY_WEIGHTS,
     ROBOTS_POINTS,
@@ -222,24 +223,32 @@ CATEGORIES = {
 }
 
 
-def with_category(df: DataFrame, category: str) -> DataFrame:
-    """Add one category score; each rule is evaluated once, in a projection below."""
+@per_context
+def _rule_columns(category: str) -> dict[str, Column]:
+    return {f"_rule_{name}": scorer(F.col(source)) for name, source, scorer in CATEGORIES[category]}
+
+
+@per_context
+def _category_column(category: str) -> Column:
     rules = CATEGORIES[category]
-    keep = df.columns
-    df = df.withColumns({f"_rule_{name}": scorer(F.col(source)) for name, source, scorer in rules})
-    parts = [F.col(f"_rule_{name}") for name, _, _ in rules]
-    total = _sum_rules(*parts)
+    total = _sum_rules(*[F.col(f"_rule_{name}") for name, _, _ in rules])
     metrics = F.create_map(
         *chain.from_iterable((F.lit(name), F.col(f"_rule_{name}").score) for name, _, _ in rules)
     )
-    struct = F.struct(
+    return F.struct(
         total.score.alias("score"),
         F.lit(100).alias("max_possible"),
         metrics.alias("metrics"),
         total.findings.alias("findings"),
         total.recommendations.alias("recommendations"),
-    )
-    return df.select(*keep, struct.alias(category))
+    ).alias(category)
+
+
+def with_categories(df: DataFrame, categories: list[str]) -> DataFrame:
+    """Add category scores; each rule is evaluated once, in a projection below."""
+    keep = df.columns
+    rules = {k: v for c in categories for k, v in _rule_columns(c).items()}
+    return df.withColumns(rules).select(*keep, *[_category_column(c) for c in categories])
 
 
 def unreachable_reason(status: Column) -> Column:
@@ -266,6 +275,4 @@ def overall_score() -> Column:
 def score_pages(parsed: DataFrame) -> DataFrame:
     """Scores of all reachable pages; keeps every column of `parsed`."""
     df = with_reachability(parsed).where("reason IS NULL").drop("reason")
-    for category in CATEGORIES:
-        df = with_category(df, category)
-    return df.withColumn("overall_score", overall_score())
+    return with_categories(df, list(CATEGORIES)).withColumn("overall_score", overall_score())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from auditloom.functions import text as T
+from auditloom.functions.urls import let
 from auditloom.operators.rollup import mean_half_even, top_messages
 
 DIMENSIONS = 64
@@ -22,24 +23,31 @@ def text_chunks(parsed: DataFrame) -> DataFrame:
 def bag_vector(text: Column) -> Column:
     """Unit vector of word counts over 64 md5 buckets; a stand-in where no model is at hand."""
     buckets = F.transform(
-        T.words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % DIMENSIONS)
+        T.words(F.lower(text)),
+        lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % DIMENSIONS,
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
-        lambda b: (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double"),
+    counts = let(
+        buckets,
+        lambda found: F.transform(
+            F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
+            lambda b: (F.size(found) - F.size(F.array_remove(found, b))).cast("double"),
+        ),
     )
+    return unit_vector(counts)
 
 
-def _unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+def unit_vector(vector: Column) -> Column:
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
+
+    return let(vector, scaled)
 
 
 def embed_with_bag(chunks: DataFrame) -> DataFrame:
-    counted = chunks.withColumns({"_h": bag_vector(F.col("heading")), "_c": bag_vector(F.col("content"))})
-    return counted.withColumns(
-        {"heading_vector": _unit(F.col("_h")), "content_vector": _unit(F.col("_c"))}
-    ).drop("_h", "_c")
+    return chunks.withColumns(
+        {"heading_vector": bag_vector(F.col("heading")), "content_vector": bag_vector(F.col("content"))}
+    )
 
 
 def embed_with_table(chunks: DataFrame, vectors: DataFrame, on: list[str]) -> DataFrame:
@@ -59,8 +67,8 @@ def embed_with_model(chunks: DataFrame, make_predict: Callable, batch_size: int
     doubles = "array<double>"
     return raw.withColumns(
         {
-            "heading_vector": _unit(F.col("_h").cast(doubles)),
-            "content_vector": _unit(F.col("_c").cast(doubles)),
+            "heading_vector": unit_vector(F.col("_h").cast(doubles)),
+            "content_vector": unit_vector(F.col("_c").cast(doubles)),
         }
     ).drop("_h", "_c")
 

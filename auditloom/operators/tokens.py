@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import html as H
 from auditloom.functions import text as T
-from auditloom.functions.urls import normalize_links
+from auditloom.functions.cached import per_context
+from auditloom.functions.urls import normalize
 
 PAGE_ORDER = Window.partitionBy("page_id").orderBy("pos")
 WHOLE_PAGE = PAGE_ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -45,9 +46,10 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     return tokens.select(*keep, "pos", "kind", F.when(F.col("kind") == "other", "").otherwise(F.col("tag")).alias("tag"), "raw")
 
 
+@per_context
 def _is_excluded() -> Column:
     raw, tag = F.col("raw"), F.col("tag")
-    classes = F.regexp_extract_all(H.attr(raw, "class"), F.lit(f"({T.NON_SPACE}+)"), F.lit(1))
+    classes = T.words(H.attr_value(H.attr_source(raw, "class")))
     by_class = (F.instr(F.lower(raw), "class") > 0) & F.coalesce(
         F.arrays_overlap(classes, F.array(*[F.lit(c) for c in H.EXCLUDED_CLASSES])), F.lit(False)
     )
@@ -198,6 +200,50 @@ def pruned_tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
     return tree.where("kept AND kind <> 'other'").select("page_id", "pos", "kind", "tag", "raw")
 
 
+def _by_tag(attributes: dict[str, str]) -> Column:
+    """For each of the tags its attribute as written."""
+    raw = F.col("raw")
+    source = None
+    for tag, name in attributes.items():
+        chosen = H.attr_source(raw, name)
+        hit = F.col("tag") == tag
+        source = F.when(hit, chosen) if source is None else source.when(hit, chosen)
+    return F.when(F.col("kind").isin("open", "void", "raw"), source)
+
+
+@per_context
+def _signal_stages() -> list[dict[str, Column]]:
+    """The columns of a token's contribution, in stages; each regex over the markup runs once."""
+    c, raw = F.col, F.col("raw")
+    is_text = c("kind") == "text"
+    script = F.regexp_replace(raw, rf"(?is)^<(?:script|style){H.TAG_REST}|</(?:script|style)\s*>\z", "")
+    role = (
+        F.when(c("_target").isNotNull(), "link")
+        .when((c("tag") == "img") & c("kind").isin("open", "void") & (F.coalesce(T.strip(c("_value")), F.lit("")) == ""), "image")
+        .when((c("tag") == "meta") & c("_key").isin("description", "robots"), c("_key"))
+        .when((c("tag") == "link") & F.array_contains(T.words(c("_key")), "canonical"), "canonical")
+        .when((c("tag") == "script") & (c("_key") == "application/ld+json"), "jsonld")
+    )
+    # other scripts only matter beside a heading outside a main container
+    needed = (c("role") == "jsonld") | ((c("kind") == "raw") & c("_has_main"))
+    return [
+        {
+            "_key": H.attr_value(_by_tag({"meta": "name", "link": "rel", "script": "type"})),
+            "_value": F.when(is_text, raw).otherwise(
+                H.attr_value(_by_tag({"a": "href", "img": "alt", "meta": "content", "link": "href"}))
+            ),
+        },
+        {"_value": T.decode_entities(c("_value"))},
+        {"_target": F.when((c("tag") == "a") & ~is_text, normalize(c("_value"), c("url")))},
+        {"role": role},
+        {
+            "val": F.when(c("role") == "link", c("_target"))
+            .when(is_text | c("role").isin("description", "robots", "canonical"), c("_value"))
+            .when(needed, script)
+        },
+    ]
+
+
 def page_signals(pages: DataFrame, clustered: bool = False) -> DataFrame:
     """Token table with what each token contributes to the audit, tree facts included.
 
@@ -205,56 +251,14 @@ def page_signals(pages: DataFrame, clustered: bool = False) -> DataFrame:
     it; for text tokens `val` is the decoded text. The markup itself is dropped before the windows.
     Other page columns travel on the first token of the page only, as the struct `page`.
     """
-    c = F.col
     page_cols = [x for x in pages.columns if x != "html"]
     wide = cluster_pages(pages, clustered).withColumn("_has_main", F.instr(F.lower("html"), "<main") > 0)
     t = with_marks(html_tokens(wide))
-    opens = c("kind").isin("open", "void")
-    raw = c("raw")
-    meta_name = F.when(opens & (c("tag") == "meta"), H.attr(raw, "name"))
-    link_rel = F.when(
-        opens & (c("tag") == "link"),
-        F.regexp_extract_all(H.attr(raw, "rel"), F.lit(f"({T.NON_SPACE}+)"), F.lit(1)),
-    )
-    script_text = F.regexp_replace(raw, rf"(?is)^<(?:script|style){H.TAG_REST}|</(?:script|style)\s*>\z", "")
-    t = t.withColumns(
-        {
-            "_name": meta_name,
-            "_rel": link_rel,
-            "_href": F.when(opens & (c("tag") == "a"), H.attr(raw, "href")),
-            "_alt": F.when(opens & (c("tag") == "img"), F.coalesce(T.strip(H.attr(raw, "alt")), F.lit(""))),
-            "_type": F.when(
-                (c("kind") == "raw") & (c("tag") == "script"),
-                H.attr(F.regexp_extract(raw, rf"(?is)^<script{H.TAG_REST}", 0), "type"),
-            ),
-        }
-    )
-    t = normalize_links(t, "_href", "url", "_target")
-    role = (
-        F.when(c("_target").isNotNull(), "link")
-        .when(c("_alt") == "", "image")
-        .when(c("_name").isin("description", "robots"), c("_name"))
-        .when(F.array_contains("_rel", "canonical"), "canonical")
-        .when(c("_type") == "application/ld+json", "jsonld")
-    )
-    t = t.withColumn("role", role)
-    val = (
-        F.when(c("kind") == "text", T.decode_entities(raw))
-        .when(c("role") == "link", c("_target"))
-        .when(c("role").isin("description", "robots"), H.attr(raw, "content"))
-        .when(c("role") == "canonical", H.attr(raw, "href"))
-        # other scripts only matter beside a heading outside a main container
-        .when((c("role") == "jsonld") | ((c("kind") == "raw") & c("_has_main")), script_text)
-    )
+    for stage in _signal_stages():
+        t = t.withColumns(stage)
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     slim = t.select(
-        "page_id",
-        "pos",
-        "kind",
-        "tag",
-        "excluded",
-        "nonblank",
-        "role",
-        val.alias("val"),
-        F.when(F.coalesce(c("pos"), F.lit(0)) == 0, F.struct(*page_cols)).alias("page"),
+        "page_id", "pos", "kind", "tag", "excluded", "nonblank", "role", "val",
+        F.when(first, F.struct(*page_cols)).alias("page"),
     )
     return with_tree(slim)

@@ -1,6 +1,7 @@
 """Session settings and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write to the shared folder and cut the lineage there; survives lost executors."""
     _checkpoint_ready(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for stream sinks and state, beside the shared checkpoints."""
+    _checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"

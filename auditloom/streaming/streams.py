@@ -4,9 +4,11 @@ Sinks are folders with one sub-folder per micro-batch, overwritten when a batch
 write is idempotent. Work per batch follows the batch, not what has been stored.
 """
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +23,10 @@ from auditloom.operators.semantic import embed_with_bag, page_semantic, score_ch
 from auditloom.session import checkpoint
 
 
+# task functions travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -53,7 +59,7 @@ def cooldown_stream(requests: DataFrame, seconds: int = TTL_SECONDS, lateness: s
             i = int(times.searchsorted(until))
         if until is not None:
             state.update((until,))
-            expiry = max(until // 1000, state.getCurrentWatermarkMs() + 1)
+            expiry = max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1)
             state.setTimeoutTimestamp(expiry)
         yield rows.iloc[picked][["client", "at", "event_id"]]
 
