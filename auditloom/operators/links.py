@@ -205,8 +205,8 @@ def crawl_replay(
             )
         )
         grown = frontier.groupBy("site_id").agg(F.count("*").cast("int").alias("_new"))
-        tally = checkpoint(
-            going.join(grown, "site_id").select("site_id", (F.col("known") + F.col("_new")).alias("known"), "found")
+        tally = going.join(grown, "site_id").select(
+            "site_id", (F.col("known") + F.col("_new")).alias("known"), "found"
         )
         seen.append(frontier)
 

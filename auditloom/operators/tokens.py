@@ -13,10 +13,6 @@ from auditloom.functions import text as T
 from auditloom.functions.cached import per_context
 from auditloom.functions.urls import normalize
 
-PAGE_ORDER = Window.partitionBy("page_id").orderBy("pos")
-WHOLE_PAGE = PAGE_ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
 def cluster_pages(pages: DataFrame, clustered: bool = False) -> DataFrame:
     """Hash pages on `page_id`; pass clustered=True for a source bucketed on it, which needs no exchange."""
     return pages if clustered else pages.repartition("page_id")
@@ -80,6 +76,8 @@ def with_tree(tokens: DataFrame) -> DataFrame:
     The container is the first `main`, else the first `body`, else the implied body.
     """
     c = F.col
+    in_order = Window.partitionBy("page_id").orderBy("pos")
+    whole_page = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = tokens.withColumn("_pair", F.when(c("kind").isin("open", "close"), c("tag")))
     delta = F.when(c("kind") == "open", 1).when(c("kind") == "close", -1).otherwise(0)
     by_tag = Window.partitionBy("page_id", "_pair").orderBy("pos")
@@ -106,9 +104,9 @@ def with_tree(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("_block_pos", F.when(is_block, c("pos")))
     t = t.withColumns(
         {
-            "depth": (F.sum("_step").over(PAGE_ORDER) - F.greatest(c("_step"), F.lit(0))).cast("int"),
+            "depth": (F.sum("_step").over(in_order) - F.greatest(c("_step"), F.lit(0))).cast("int"),
             "_break": _lead_nonnull("_block_pos", "page_id"),
-            "_prev_tag": F.lag("tag").over(PAGE_ORDER),
+            "_prev_tag": F.lag("tag").over(in_order),
         }
     )
     opened = c("kind") == "open"
@@ -117,10 +115,10 @@ def with_tree(tokens: DataFrame) -> DataFrame:
     )
     t = t.withColumns(
         {
-            "_main": F.min(F.when(opened & (c("tag") == "main"), c("pos"))).over(WHOLE_PAGE),
-            "_body": F.min(F.when(opened & (c("tag") == "body"), c("pos"))).over(WHOLE_PAGE),
-            "_implied": F.min(F.when(body_like, c("pos"))).over(WHOLE_PAGE),
-            "_last": F.max("pos").over(WHOLE_PAGE),
+            "_main": F.min(F.when(opened & (c("tag") == "main"), c("pos"))).over(whole_page),
+            "_body": F.min(F.when(opened & (c("tag") == "body"), c("pos"))).over(whole_page),
+            "_implied": F.min(F.when(body_like, c("pos"))).over(whole_page),
+            "_last": F.max("pos").over(whole_page),
         }
     ).withColumns(
         {
@@ -151,11 +149,11 @@ def with_tree(tokens: DataFrame) -> DataFrame:
         "stop_pos", F.coalesce(F.least("_next_head", "_next_close"), c("_last") + 1)
     )
 
-    running = PAGE_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covers = c("excluded") & (c("pos") > c("container_pos"))
     t = t.withColumns(
         {
-            "_container_end": F.max(F.when(c("pos") == c("container_pos"), c("end_pos"))).over(WHOLE_PAGE),
+            "_container_end": F.max(F.when(c("pos") == c("container_pos"), c("end_pos"))).over(whole_page),
             "_cover_end": F.max(F.when(covers, c("end_pos"))).over(running),
             "_hidden_end": F.max(
                 F.when(opened & c("tag").isin(H.HIDDEN_TEXT_TAGS), c("end_pos"))

@@ -73,10 +73,10 @@ pair as (select o.page_id, o.tag, o.pos, min(c.pos) close_pos from bal o left jo
 lev as (select page_id, pos s, close_pos e from pair where close_pos is not null and tag<>'p'),
 par as materialized (select t.page_id, t.pos, count(l.s) depth, max(l.s) parent_pos, min(l.e) parent_end from tok t left join lev l on l.page_id=t.page_id and l.s<t.pos and l.e>t.pos group by all),
 blk as (select page_id, pos from tok where tag in {BLOCKS} and kind in ('open','close','void')),
-brk as (select p.page_id, p.pos, min(b.pos) at from pair p join blk b on b.page_id=p.page_id and b.pos>p.pos where p.tag='p' or (p.close_pos is null and p.tag in {HEADS}) group by all),
+brk as (select p.page_id, p.pos, min(b.pos) brk_at from pair p join blk b on b.page_id=p.page_id and b.pos>p.pos where p.tag='p' or (p.close_pos is null and p.tag in {HEADS}) group by all),
 span as materialized (select p.page_id, p.tag, p.pos start_pos,
-  CAST(case when p.tag='p' then coalesce(brk.at-1, last_pos) when close_pos is not null then close_pos
-   when p.tag in {HEADS} then coalesce(least(brk.at, parent_end)-1, last_pos) else coalesce(parent_end-1, last_pos) end AS INT) end_pos,
+  CAST(case when p.tag='p' then coalesce(brk.brk_at-1, last_pos) when close_pos is not null then close_pos
+   when p.tag in {HEADS} then coalesce(least(brk.brk_at, parent_end)-1, last_pos) else coalesce(parent_end-1, last_pos) end AS INT) end_pos,
   CAST(depth AS INT) depth, parent_pos, coalesce(parent_end, last_pos+1) parent_end
   from pair p join par using (page_id, pos) join pagelen using (page_id) left join brk using (page_id, pos)),
 cont as (select page_id, coalesce(min(case when tag='main' then start_pos end), min(case when tag='body' then start_pos end)) c0 from span group by 1),
@@ -105,7 +105,7 @@ body as (select box.page_id, coalesce(string_agg(x.s, ' ' order by x.pos) filter
 imgs as (select page_id, count(*) n from kept where tag='img' and coalesce({strip(attr('alt'))}, '')='' group by 1),
 jblock as materialized (select page_id, txt, CAST(row_number() over (partition by page_id order by pos)-1 AS INT) block from
   (select page_id, pos, regexp_replace(regexp_replace(raw, '(?i)^<script[^>]*>', ''), '(?i)</script\s*>$', '') txt from kept where tag='script' and {attr('type')}='application/ld+json') q where json_valid(txt)),
-jtree as materialized (select page_id, block, t.* exclude (json, root) from jblock, json_tree(jblock.txt) t)
+jtree as materialized (select page_id, block, t.key, t.value, t.type, t.id, t.parent, t.fullkey from jblock, json_tree(jblock.txt) t)
 """
 
 
@@ -388,8 +388,8 @@ check("page_semantic", with_ctes(_VECTORS, _VALIGN, _VPAGES) + "select page_id,
 def semantic_site(pages: str, site: str, at: str) -> str:
     """`ssem`: site_id, score and top lists of page messages."""
     return f"""
-smsg as (select {site} site_id, 'finding' kind, {at} at, finding message from {pages} union all select {site}, 'recommendation', {at}, recommendation from {pages} where recommendation is not null),
-scnt as (select site_id, kind, message, count(*) n, min(at) f from smsg group by all),
+smsg as (select {site} site_id, 'finding' kind, {at} seen_at, finding message from {pages} union all select {site}, 'recommendation', {at}, recommendation from {pages} where recommendation is not null),
+scnt as (select site_id, kind, message, count(*) n, min(seen_at) f from smsg group by all),
 stop as (select *, row_number() over (partition by site_id, kind order by n desc, f) rk from scnt qualify rk<=5),
 slist as (select site_id, string_agg(message, '|' order by rk) filter (kind='finding') findings, string_agg(message, '|' order by rk) filter (kind='recommendation') recommendations from stop group by 1),
 ssem as (select p.*, findings, coalesce(recommendations, '') recommendations from (select {site} site_id, {_MEAN} overall_score from {pages} group by 1) p join slist using (site_id))
@@ -469,7 +469,7 @@ ok as materialized (select page_id, site_id, url from pages_in where status_code
 adj as materialized (select l.site_id, ok.url, list(target order by pos) out_links from sl l join ok using (page_id) where {rule.replace('site_id', 'l.site_id')} group by 1, 2),
 run as (select site_id, [concat('https://s', site_id, '.example.com/p0')] queue, CAST(0 AS BIGINT) head, CAST([] AS VARCHAR[]) got from (select distinct site_id from pages_in) s
  union all select site_id, list_concat(queue, fresh), head+len(batch), list_concat(got, hits) from (
-  select r.site_id, queue, head, got, batch, [u for u in batch if (r.site_id, u) in (select (site_id, url) from ok)] hits,
+  select r.site_id, queue, head, got, batch, (select coalesce(list(bu order by bi), []) from (select unnest(batch) bu, generate_subscripts(batch, 1) bi) b join ok on ok.site_id=r.site_id and ok.url=bu) hits,
    (select coalesce(list(u order by f), []) from (select u, min(bi*100000+li) f from (select bi, unnest(out_links) u, generate_subscripts(out_links, 1) li from (select unnest(batch) bu, generate_subscripts(batch, 1) bi) b join adj on adj.site_id=r.site_id and adj.url=bu) e where not list_contains(queue, u) group by u)) fresh
   from (select *, queue[head+1:head+3] batch from run where len(got)<{limit} and head<len(queue)) r))
 """
