@@ -4,11 +4,11 @@ Intermediate values are bound with `let`, so each regex over a URL runs once per
 stays small wherever the optimizer moves it.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditloom.functions.text import let
+
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # groups: authority with its slashes, path, query with '?', fragment with '#'
 SPLIT_RE = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -64,11 +64,6 @@ def _remove_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), flat).otherwise(path)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and give it to `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _parts(url: Column, prefix: str) -> list[Column]:
     def part(group: int) -> Column:
         return F.regexp_extract(url, SPLIT_RE, group)

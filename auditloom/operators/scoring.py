@@ -37,18 +37,17 @@ def _ratio(n: Column, limit: float, points: float) -> Column:
 
 
 def _length_rule(col: Column, low: int, high: int, name: str) -> Column:
-    n = T.word_count(col)
-    return (
-        F.when(
-            T.is_blank(col),
-            rule(0, [f"{name}.missing", f"{name}.empty"], [f"{name}.add", f"{name}.matters"]),
-        )
-        .when(n < low, rule(_ratio(n, low, 30), [f"{name}.short"], [f"{name}.lengthen", f"{name}.describe"]))
-        .when(n <= high, rule(30, [f"{name}.good"]))
-        .otherwise(
-            rule(F.greatest(30 - (n - high) * 2, F.lit(10)), [f"{name}.long"], [f"{name}.shorten"])
+    def bands(n: Column) -> Column:
+        return (
+            F.when(n < low, rule(_ratio(n, low, 30), [f"{name}.short"], [f"{name}.lengthen", f"{name}.describe"]))
+            .when(n <= high, rule(30, [f"{name}.good"]))
+            .otherwise(
+                rule(F.greatest(30 - (n - high) * 2, F.lit(10)), [f"{name}.long"], [f"{name}.shorten"])
+            )
         )
-    )
+
+    missing = rule(0, [f"{name}.missing", f"{name}.empty"], [f"{name}.add", f"{name}.matters"])
+    return F.when(T.is_blank(col), missing).otherwise(T.let(T.word_count(col), bands))
 
 
 def score_title(title: Column) -> Column:
@@ -78,14 +77,17 @@ def _total(items: Column, table: dict) -> Column:
 
 def score_meta_robots(robots: Column) -> Column:
     names = F.transform(F.split(F.coalesce(robots, F.lit("")), ","), lambda d: F.lower(T.strip(d)))
-    s = F.greatest(F.lit(0), F.least(F.lit(20), _total(names, ROBOTS_POINTS) + 12))
-    return (
-        F.when(s == 0, rule(s, ["robots.blocked"], ["robots.unblock"]))
-        .when(s < 12, rule(s, ["robots.restricted"], ["robots.review"]))
-        .when(s == 12, rule(s, ["robots.default"], ["robots.state"]))
-        .when(s < 20, rule(s, ["robots.mostly_open"]))
-        .otherwise(rule(s, ["robots.open"]))
-    )
+
+    def bands(s: Column) -> Column:
+        return (
+            F.when(s == 0, rule(s, ["robots.blocked"], ["robots.unblock"]))
+            .when(s < 12, rule(s, ["robots.restricted"], ["robots.review"]))
+            .when(s == 12, rule(s, ["robots.default"], ["robots.state"]))
+            .when(s < 20, rule(s, ["robots.mostly_open"]))
+            .otherwise(rule(s, ["robots.open"]))
+        )
+
+    return T.let(F.greatest(F.lit(0), F.least(F.lit(20), _total(names, ROBOTS_POINTS) + 12)), bands)
 
 
 def score_word_count(n: Column) -> Column:
@@ -110,40 +112,59 @@ def _sum_rules(*parts: Column) -> Column:
     )
 
 
+def _add_up(parts: Column) -> Column:
+    """The same for an array of rule results."""
+    return F.struct(
+        F.aggregate(parts, F.lit(0), lambda acc, p: acc + p.score).alias("score"),
+        F.flatten(F.transform(parts, lambda p: p.findings)).alias("findings"),
+        F.flatten(F.transform(parts, lambda p: p.recommendations)).alias("recommendations"),
+    )
+
+
 def score_headings(headings: Column) -> Column:
     tags = F.transform(headings, lambda h: h.tag)
-    h1 = F.size(F.filter(tags, lambda t: t == "h1"))
-    has_h2 = F.array_contains(tags, "h2")
-    total = F.size(headings)
     n_words = F.aggregate(headings, F.lit(0), lambda acc, h: acc + T.word_count(h.text))
-    mean = F.when(total > 0, n_words / total).otherwise(F.lit(0.0))
-    return _sum_rules(
-        F.when(h1 == 1, rule(10, ["h1.single"]))
-        .when(h1 > 1, rule(5, ["h1.several"], ["h1.keep_one"]))
-        .otherwise(rule(0, ["h1.missing"], ["h1.add"])),
-        F.when(total >= 3, rule(10, ["headings.enough"]))
-        .when(total > 0, rule(5, ["headings.few"], ["headings.add_more"]))
-        .otherwise(rule(0, ["headings.none"], ["headings.add"])),
-        F.when((h1 > 0) & has_h2, rule(10, ["hierarchy.good"]))
-        .when(h1 > 0, rule(5, ["hierarchy.no_h2"], ["hierarchy.add_h2"]))
-        .otherwise(rule(0, ["hierarchy.none"], ["hierarchy.add"])),
-        F.when(mean.between(5, 10), rule(10, ["heading_words.good"]))
-        .when((mean >= 1) & (mean < 5), rule(5, ["heading_words.brief"], ["heading_words.lengthen"]))
-        .otherwise(rule(0, ["heading_words.off"], ["heading_words.fix"])),
+    facts = F.struct(
+        F.size(F.filter(tags, lambda t: t == "h1")).alias("h1"),
+        F.array_contains(tags, "h2").alias("has_h2"),
+        F.size(headings).alias("total"),
+        F.when(F.size(headings) > 0, n_words / F.size(headings)).otherwise(F.lit(0.0)).alias("mean"),
     )
 
+    def bands(x: Column) -> Column:
+        return F.array(
+            F.when(x.h1 == 1, rule(10, ["h1.single"]))
+            .when(x.h1 > 1, rule(5, ["h1.several"], ["h1.keep_one"]))
+            .otherwise(rule(0, ["h1.missing"], ["h1.add"])),
+            F.when(x.total >= 3, rule(10, ["headings.enough"]))
+            .when(x.total > 0, rule(5, ["headings.few"], ["headings.add_more"]))
+            .otherwise(rule(0, ["headings.none"], ["headings.add"])),
+            F.when((x.h1 > 0) & x.has_h2, rule(10, ["hierarchy.good"]))
+            .when(x.h1 > 0, rule(5, ["hierarchy.no_h2"], ["hierarchy.add_h2"]))
+            .otherwise(rule(0, ["hierarchy.none"], ["hierarchy.add"])),
+            F.when(x["mean"].between(5, 10), rule(10, ["heading_words.good"]))
+            .when((x["mean"] >= 1) & (x["mean"] < 5), rule(5, ["heading_words.brief"], ["heading_words.lengthen"]))
+            .otherwise(rule(0, ["heading_words.off"], ["heading_words.fix"])),
+        )
+
+    return T.let(T.let(facts, bands), _add_up)
+
 
 def score_body_content(body: Column) -> Column:
-    found = T.words(body)
-    total = F.size(found)
-    ratio = F.when(total > 0, F.size(F.array_distinct(found)) / total).otherwise(F.lit(0.0))
-    points = T.half_even(F.lit(40.0) * ratio)
-    return (
-        F.when(T.is_blank(body), rule(0, ["body.empty"], ["body.write", "body.matters"]))
-        .when(ratio > F.lit(0.7), rule(40, ["body.diverse"]))
-        .when(ratio >= F.lit(0.4), rule(points, ["body.moderate"], ["body.vary"]))
-        .otherwise(rule(points, ["body.repetitive"], ["body.rewrite", "body.no_stuffing"]))
-    )
+    def ratio(found: Column) -> Column:
+        share = F.size(F.array_distinct(found)) / F.size(found)
+        return F.when(F.size(found) > 0, share).otherwise(F.lit(0.0))
+
+    def bands(r: Column) -> Column:
+        points = T.half_even(F.lit(40.0) * r)
+        return (
+            F.when(r > F.lit(0.7), rule(40, ["body.diverse"]))
+            .when(r >= F.lit(0.4), rule(points, ["body.moderate"], ["body.vary"]))
+            .otherwise(rule(points, ["body.repetitive"], ["body.rewrite", "body.no_stuffing"]))
+        )
+
+    empty = rule(0, ["body.empty"], ["body.write", "body.matters"])
+    return F.when(T.is_blank(body), empty).otherwise(T.let(T.let(T.words(body), ratio), bands))
 
 
 def score_has_schema(flag: Column) -> Column:
@@ -151,32 +172,35 @@ def score_has_schema(flag: Column) -> Column:
 
 
 def score_schema_types(names: Column) -> Column:
-    s = F.least(_total(names, SCHEMA_TYPE_POINTS), F.lit(30))
-    return (
-        F.when(s == 0, rule(s, ["types.none"], ["types.add"]))
-        .when(s <= 10, rule(s, ["types.basic"], ["types.add_more"]))
-        .when(s <= 25, rule(s, ["types.good"]))
-        .otherwise(rule(s, ["types.excellent"]))
-    )
+    def bands(s: Column) -> Column:
+        return (
+            F.when(s == 0, rule(s, ["types.none"], ["types.add"]))
+            .when(s <= 10, rule(s, ["types.basic"], ["types.add_more"]))
+            .when(s <= 25, rule(s, ["types.good"]))
+            .otherwise(rule(s, ["types.excellent"]))
+        )
+
+    return T.let(F.least(_total(names, SCHEMA_TYPE_POINTS), F.lit(30)), bands)
 
 
 def score_faq(items: Column) -> Column:
-    n = F.size(items)
     n_words = F.aggregate(items, F.lit(0), lambda acc, x: acc + T.word_count(x.answer))
-    mean = F.when(n > 0, n_words / n).otherwise(F.lit(0.0))
-    count_part = (
-        F.when(n <= 5, rule(_ratio(n, 5, 20), ["faq.limited"], ["faq.add_more"]))
-        .when(n <= 10, rule(20, ["faq.good"]))
-        .otherwise(rule(F.greatest(20 - (n - 10) * 2, F.lit(7)), ["faq.many"], ["faq.reduce"]))
-    )
-    answer_part = (
-        F.when(mean < 10, rule(0, ["faq_answers.brief"], ["faq_answers.expand"]))
-        .when(mean <= 50, rule(_ratio(mean, 50, 20), ["faq_answers.good"]))
-        .otherwise(rule(10, ["faq_answers.long"], ["faq_answers.shorten"]))
-    )
-    return F.when(n == 0, rule(0, ["faq.none"], ["faq.add"])).otherwise(
-        _sum_rules(rule(10), count_part, answer_part)
-    )
+    facts = F.struct(F.size(items).alias("n"), (n_words / F.size(items)).alias("mean"))
+
+    def bands(x: Column) -> Column:
+        n, mean = x["n"], x["mean"]
+        return F.array(
+            rule(10),
+            F.when(n <= 5, rule(_ratio(n, 5, 20), ["faq.limited"], ["faq.add_more"]))
+            .when(n <= 10, rule(20, ["faq.good"]))
+            .otherwise(rule(F.greatest(20 - (n - 10) * 2, F.lit(7)), ["faq.many"], ["faq.reduce"])),
+            F.when(mean < 10, rule(0, ["faq_answers.brief"], ["faq_answers.expand"]))
+            .when(mean <= 50, rule(_ratio(mean, 50, 20), ["faq_answers.good"]))
+            .otherwise(rule(10, ["faq_answers.long"], ["faq_answers.shorten"])),
+        )
+
+    none = rule(0, ["faq.none"], ["faq.add"])
+    return F.when(F.size(items) == 0, none).otherwise(T.let(T.let(facts, bands), _add_up))
 
 
 def score_internal_links(links: Column) -> Column:
@@ -273,6 +297,10 @@ def overall_score() -> Column:
 
 
 def score_pages(parsed: DataFrame) -> DataFrame:
-    """Scores of all reachable pages; keeps every column of `parsed`."""
-    df = with_reachability(parsed).where("reason IS NULL").drop("reason")
-    return with_categories(df, list(CATEGORIES)).withColumn("overall_score", overall_score())
+    """Scores of all reachable pages: the page's own columns, five categories, overall score."""
+    df = with_reachability(parsed).where("reason IS NULL")
+    signals = {"reason", "has_schema", "json_ld_schema", "sections"} | {
+        source for rules in CATEGORIES.values() for _, source, _ in rules
+    }
+    scored = with_categories(df, list(CATEGORIES)).withColumn("overall_score", overall_score())
+    return scored.drop(*signals)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from auditloom.functions import text as T
-from auditloom.functions.urls import let
+from auditloom.functions.text import let
 from auditloom.operators.rollup import mean_half_even, top_messages
 
 DIMENSIONS = 64

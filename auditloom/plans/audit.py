@@ -24,15 +24,14 @@ class Audit(NamedTuple):
 def audit_pages(sites: DataFrame, captures: DataFrame, embed=embed_with_bag, store: bool = True) -> Audit:
     """Audit captures that already carry site_id and crawl_pos.
 
-    The parsed pages feed scores, semantics and roll-ups; they are written once (`store`) rather than
-    parsed by each of them.
+    Parsed pages feed scores and semantics, and both feed several roll-ups; each is written once
+    (`store`) rather than computed by every consumer.
     """
-    parsed = parse_pages(captures)
-    if store:
-        parsed = checkpoint(parsed)
-    scores = score_pages(parsed)
+    keep = checkpoint if store else lambda df: df
+    parsed = keep(parse_pages(captures))
+    scores = keep(score_pages(parsed))
     gone = unreachable_pages(parsed).select("site_id", "crawl_pos", "url", "status_code", "reason")
-    semantic = page_semantic(score_chunks(embed(text_chunks(parsed))))
+    semantic = keep(page_semantic(score_chunks(embed(text_chunks(parsed)))))
     slim = captures.drop("html")
     return Audit(parsed, scores, gone, semantic, site_report(sites, slim, scores, gone, semantic))
 
