@@ -151,22 +151,27 @@ def job_create(spark, d):
 # 2.2 URLs
 
 
+def _link_shapes(spark, d):
+    shapes = F.posexplode(F.array(*[F.lit(h) for h in X.LINK_SHAPES])).alias("case_id", "href")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", shapes)
+
+
 @query
 def url_resolve(spark, d):
     resolved = U.resolve(F.col("href"), F.col("url"))
-    return X.table(spark, d, X.URL_CASES).select("page_id", "case_id", resolved.alias("resolved"))
+    return _link_shapes(spark, d).select("page_id", "case_id", resolved.alias("resolved"))
 
 
 @query
 def url_same_host(spark, d):
     same = U.let(U.resolve(F.col("href"), F.col("url")), lambda u: U.same_host(u, F.col("url")))
-    return X.table(spark, d, X.URL_CASES).select("page_id", "case_id", same.alias("same_host"))
+    return _link_shapes(spark, d).select("page_id", "case_id", same.alias("same_host"))
 
 
 @query
 def url_normalize(spark, d):
     link = U.normalize(F.col("href"), F.col("url"))
-    return X.table(spark, d, X.URL_CASES).select("page_id", "case_id", link.alias("link"))
+    return _link_shapes(spark, d).select("page_id", "case_id", link.alias("link"))
 
 
 # 2.3 extraction

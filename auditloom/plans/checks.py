@@ -206,7 +206,8 @@ check(
     with_ctes(*ALL)
     + "select page_id, url, status_code, word_count, has_schema, images_without_alt, title, meta_description, meta_robots, canonical_url, body_text_content, headings, internal_links, json_ld_schema, schema_types, faq_items, sections from parsed",
 )
-_CASES = resolve_ctes("select page_id, case_id n, url, href from (" + X.URL_CASES.strip() + ") z")
+_SHAPES = ", ".join(f"{{'n': {i}, 'href': '{h}'}}" for i, h in enumerate(X.LINK_SHAPES))
+_CASES = resolve_ctes(f"select page_id, u.n, url, u.href from (select page_id, url, unnest([{_SHAPES}]) u from pages) z")
 check("url_resolve", with_ctes(_CASES) + "select page_id, n case_id, link resolved from res")
 check("url_same_host", with_ctes(_CASES) + "select page_id, n case_id, coalesce(sc<>'' and ho=home, false) same_host from norm0")
 check("url_normalize", with_ctes(_CASES) + "select page_id, n case_id, target link from norm")

@@ -1,7 +1,8 @@
 """Stream forms: client cooldown, running job state, audit of arriving captures.
 
 Sinks are folders with one sub-folder per micro-batch, overwritten when a batch is retried, so every
-write is idempotent. Work per batch follows the batch, not what has been stored.
+write is idempotent. Each capture is parsed and scored once, when it arrives; refreshing a report reads
+back the stored scores, not the pages, of the sites a batch touches.
 """
 
 import sys
