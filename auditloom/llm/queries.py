@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, extract, language, licenses, mixing, ngram_lm, repetition, substrings, token_counts
+from auditloom.llm import decontaminate, extract, language, licenses, mixing, near_dups, ngram_lm, repetition, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,8 +61,12 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_texts(_documents(spark, sf_dir), language.held_out(F.col("doc_id"), 5, 1))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicate_classes(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language, op2_main_text, op3_token_counts, op4_mix, op5_decontaminate, op6_licenses, op7_repetition, op8_substrings, op9_lm_scores)
+    for f in (op1_language, op2_main_text, op3_token_counts, op4_mix, op5_decontaminate, op6_licenses, op7_repetition, op8_substrings, op9_lm_scores, op10_near_duplicates)
 }
 CHECKS = {"op4_mix": mixing.MIX_SQL.format(docs="documents") + "SELECT doc_id, size, source_size, target, copies * size AS taken FROM counted"}

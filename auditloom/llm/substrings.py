@@ -349,11 +349,11 @@ def with_repeats(docs: DataFrame, column: str = "repeats", s: RepeatSettings = R
     buckets of bounded size.
     """
     rows = keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(rows, s).withColumnRenamed("spans", column).withColumnsRenamed({"row_key": "repeat_row", "text_key": "repeat_text"})
+    spans = repeated_spans(rows, s).withColumnRenamed("spans", column).withColumnsRenamed({"row_key": "__repeat_row", "text_key": "__repeat_text"})
     text = F.coalesce(F.col("text"), F.lit(""))
     row_key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
     here = docs.drop(column)
-    return here.join(spans, (row_key == F.col("repeat_row")) & (F.xxhash64(text, F.lit(8)) == F.col("repeat_text")), "left").drop("repeat_row", "repeat_text")
+    return here.join(spans, (row_key == F.col("__repeat_row")) & (F.xxhash64(text, F.lit(8)) == F.col("__repeat_text")), "left").drop("__repeat_row", "__repeat_text")
 
 
 def kept_bytes(text: str | None, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -397,8 +397,8 @@ def remaining_text(text: Column, spans: Column) -> Column:
 
 def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> DataFrame:
     """docs with repeated bytes taken out of text; a text of which no word is left goes, a text that had none stays."""
-    marked = with_repeats(docs, "repeat_spans", s)
-    left = remaining_text(F.col("text"), F.col("repeat_spans"))
-    cut = marked.withColumn("repeat_left", F.when(F.col("repeat_spans").isNotNull(), left).otherwise(F.col("text")))
-    keep = F.col("repeat_spans").isNull() | (F.trim("repeat_left") != "")
-    return cut.where(keep).withColumn("text", F.col("repeat_left")).drop("repeat_spans", "repeat_left")
+    marked = with_repeats(docs, "__repeat_spans", s)
+    left = remaining_text(F.col("text"), F.col("__repeat_spans"))
+    cut = marked.withColumn("__repeat_left", F.when(F.col("__repeat_spans").isNotNull(), left).otherwise(F.col("text")))
+    keep = F.col("__repeat_spans").isNull() | (F.trim("__repeat_left") != "")
+    return cut.where(keep).withColumn("text", F.col("__repeat_left")).drop("__repeat_spans", "__repeat_left")
