@@ -168,21 +168,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = L
     return found
 
 
+def _holds_item(seeds: Broadcast, settings: LeakSettings):
+    """A column function: does a text in lower case hold an item of the block?"""
+
+    @F.arrow_udf("boolean")
+    def leaked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = np.zeros(len(batch), bool)
+            for block in text_blocks(batch):
+                words, rows = word_hashes(block)
+                if len(words):
+                    out[[block.first + r for r, *_ in leaks(words, rows, seeds.value, settings)]] = True
+            yield pa.array(out, pa.bool_())
+
+    return leaked.asNondeterministic()
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings()) -> DataFrame:
     """The rows of docs, with all their columns, in which find_leaks finds no item."""
-    for seeds in seeded_blocks(docs, benchmark, settings):
-
-        @F.arrow_udf("boolean")
-        def leaked(batches: Iterator[pa.Array], seeds=seeds) -> Iterator[pa.Array]:
-            for batch in batches:
-                out = np.zeros(len(batch), bool)
-                for block in text_blocks(batch):
-                    words, rows = word_hashes(block)
-                    if len(words):
-                        out[[block.first + r for r, *_ in leaks(words, rows, seeds.value, settings)]] = True
-                yield pa.array(out, pa.bool_())
-
-        docs = docs.where(~leaked.asNondeterministic()(F.lower("text")))
+    blocks = list(seeded_blocks(docs, benchmark, settings))
+    for seeds in blocks:
+        docs = docs.where(~_holds_item(seeds, settings)(F.lower("text")))
     return docs
 
 

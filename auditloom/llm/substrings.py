@@ -395,10 +395,15 @@ def remaining_text(text: Column, spans: Column) -> Column:
     return remaining.asNondeterministic()(text, spans)
 
 
-def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> DataFrame:
-    """docs with repeated bytes taken out of text; a text of which no word is left goes, a text that had none stays."""
-    marked = with_repeats(docs, "__repeat_spans", s)
-    left = remaining_text(F.col("text"), F.col("__repeat_spans"))
-    cut = marked.withColumn("__repeat_left", F.when(F.col("__repeat_spans").isNotNull(), left).otherwise(F.col("text")))
-    keep = F.col("__repeat_spans").isNull() | (F.trim("__repeat_left") != "")
-    return cut.where(keep).withColumn("text", F.col("__repeat_left")).drop("__repeat_spans", "__repeat_left")
+def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), changed: str | None = None) -> DataFrame:
+    """docs with repeated bytes taken out of text; a text of which no word is left goes, a text that had none stays.
+
+    changed: name of a further boolean column that tells whether text lost anything.
+    """
+    marked = with_repeats(docs, "__spans", s)
+    hit = F.col("__spans").isNotNull()
+    cut = marked.withColumn("__left", F.when(hit, remaining_text(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    cut = cut.where(~hit | F.col("__left").rlike("[^\\x20\\x09-\\x0D]")).withColumn("text", F.col("__left"))
+    if changed:
+        cut = cut.withColumn(changed, hit)
+    return cut.drop("__spans", "__left")
