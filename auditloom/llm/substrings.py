@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.store import stored
 from auditloom.llm.words import Texts, mix, span_hash, text_blocks
 
+SYMBOLS = 6  # bytes, or terminators, that one number holds
 SPANS = "array<struct<a: int, b: int>>"
 
 
@@ -24,8 +25,8 @@ class RepeatSettings:
 
     length: int = 200
     anchor: int = 50
-    index_bytes: int = 2 << 20
-    group: int = 4000
+    index_bytes: int = 1 << 19
+    group: int = 2000
 
 
 def anchors(texts: Texts, s: RepeatSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,48 +67,71 @@ def contexts(texts: Texts, place: np.ndarray, s: RepeatSettings) -> tuple[np.nda
     return row, begin, np.minimum(texts.starts[row + 1], place + s.length)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The id; a null id counts as a hash of the text, above all ids."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs and the two never-null columns that tell rows apart; rows that share both have the same text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).withColumn("text_key", F.xxhash64(text, F.lit(8)))
+    return docs.withColumn("_row_key", row_key(F.col("doc_id"), text)).withColumn("_text_key", F.xxhash64(text, F.lit(8)))
 
 
 # ---- index of contexts ----
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of strings, group by group in lexicographic order, and for each place its next seven symbols as a number.
+    """Suffixes of strings, group by group in lexicographic order, and for each place its next six symbols as a number.
 
     String k is data[starts[k]:starts[k + 1]]; it ends with a terminator of its own, less than any byte and less than
-    those of later strings. Ranks by seven symbols are doubled until all differ.
+    those of later strings. Ranks by six symbols are doubled until all differ; a suffix that is alone isn't sorted again.
     """
-    n, owner = len(data), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    ends = starts[1:][owner]
-    place = np.arange(n)
-    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(7, np.int64)])
-    packed = np.zeros(n, np.int64)
-    for j in range(7):
-        packed = (packed << 9) | np.where(place + j < ends, padded[j : n + j], 0)
-    order = np.lexsort((packed, groups[owner]))
-    first = np.ones(n, bool)
-    first[1:] = (packed[order[1:]] != packed[order[:-1]]) | (groups[owner][order[1:]] != groups[owner][order[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, place, 0))
-    step = 7
-    while len(open_ := np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)):
-        ahead = open_ + step
-        then = np.where(ahead < ends[open_], rank[np.minimum(ahead, n - 1)] + len(starts), owner[open_])
-        key = rank[open_] * np.int64(n + len(starts) + 1) + then
+    n, sizes = len(data), np.diff(starts)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    left = (starts[1:][owner] - np.arange(n)).astype(np.int32)  # bytes up to the string's end
+    pad = np.zeros(n + SYMBOLS, np.int64)
+    pad[:n] = data
+    pad[:n] += 1
+    two = np.where(left > 1, pad[1 : n + 1], 0) | pad[:n] << 9
+    two = np.append(two, np.zeros(SYMBOLS, np.int64))
+    packed = two[:n] << 36
+    packed |= np.where(left > 2, two[2 : n + 2], 0) << 18
+    packed |= np.where(left > 4, two[4 : n + 4], 0)
+    order = np.argsort(packed)
+    small = groups.astype(np.uint16 if len(groups) < 1 << 16 else np.int32)
+    order = order[np.argsort(small[owner[order]], kind="stable")].astype(np.int32)
+    key, group = packed[order], groups[owner[order]]
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+    rank = np.empty(n, np.int32)
+    slot = np.arange(n, dtype=np.int32)
+    base = np.maximum.accumulate(np.where(new, slot, 0))
+    rank[order] = base
+    open_ = ~(new & np.append(new[1:], True))
+    at, base, step = order[open_], base[open_], SYMBOLS
+    wide = np.int64(n + len(sizes) + 1)
+    while len(at):
+        ahead = at + np.int32(step)
+        ended = left[at] <= step
+        ahead[ended] = 0
+        then = rank[ahead] + np.int32(len(sizes))
+        then[ended] = owner[at[ended]]
+        key = base * wide + then
         by = np.argsort(key)
-        at, key, group = open_[by], key[by], rank[open_][by]
-        slot = np.arange(len(at))
-        new_group = np.concatenate([[True], group[1:] != group[:-1]])
-        new_part = np.concatenate([[True], key[1:] != key[:-1]])
-        base = np.maximum.accumulate(np.where(new_group, slot, 0))
-        rank[at] = group + np.maximum.accumulate(np.where(new_part, slot, 0)) - base
+        at, key, base = at[by], key[by], base[by]
+        new_group = np.ones(len(at), bool)
+        new_group[1:] = base[1:] != base[:-1]
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        slot = np.arange(len(at), dtype=np.int32)
+        base = base + np.maximum.accumulate(np.where(new, slot, 0)) - np.maximum.accumulate(np.where(new_group, slot, 0))
+        rank[at] = base
+        open_ = ~(new & np.append(new[1:], True))
+        at, base = at[open_], base[open_]
         step *= 2
     out = np.empty(n, np.int64)
-    out[rank] = place
+    out[rank] = np.arange(n)
     return out, packed
 
 
@@ -137,10 +161,10 @@ class RunIndex:
         while len(live):
             a, b = place[live] + shared[live], before[live] + shared[live]
             differ = packed[a] ^ packed[b]
-            # equal ones of seven symbols, nine bits each
-            same = sum(((differ >> (9 * j)) == 0).astype(np.int64) for j in range(7))
+            # equal ones of the next symbols, nine bits each
+            same = sum(((differ >> (9 * j)) == 0).astype(np.int64) for j in range(SYMBOLS))
             shared[live] = np.minimum(shared[live] + same, most[live])
-            live = live[(same == 7) & (shared[live] < most[live])]
+            live = live[(same == SYMBOLS) & (shared[live] < most[live])]
         return cls(place, shared)
 
     def stream(self, n: int) -> np.ndarray:
@@ -187,7 +211,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 # ---- Spark ----
 
-OCCURRENCES = "anchor long, context long, row_key long, text_key long, place int, lead int, size int"
+OCCURRENCES = "anchor long, context long, _row_key long, _text_key long, place int, lead int, size int"
 
 
 def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
@@ -201,7 +225,7 @@ def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in OCCURRENCES.split(", ")]
         for batch in batches:
-            row_key, text_key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            _row_key, _text_key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for block in text_blocks(batch.column(2)):
                 place, hashes, prefix = anchors(block, s)
                 row, begin, end = contexts(block, place, s)
@@ -209,8 +233,8 @@ def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
                 context = mix(span_hash(prefix, begin, end) ^ (lead + 1).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes.view(np.int64)), pa.array(context.view(np.int64)), pa.array(row_key[block.first + row]),
-                        pa.array(text_key[block.first + row]), pa.array((begin - block.starts[row]).astype(np.int32)),
+                        pa.array(hashes.view(np.int64)), pa.array(context.view(np.int64)), pa.array(_row_key[block.first + row]),
+                        pa.array(_text_key[block.first + row]), pa.array((begin - block.starts[row]).astype(np.int32)),
                         pa.array(lead.astype(np.int32)), pa.array((end - begin).astype(np.int32)),
                     ],
                     names,
@@ -218,39 +242,46 @@ def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
 
     counts = docs.select("text").mapInArrow(only_hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
     often = stored(counts.where("n > 1").select("anchor"), "repeat-anchors")
-    found = docs.select("row_key", "text_key", "text").mapInArrow(full, OCCURRENCES)
+    found = docs.select("_row_key", "_text_key", "text").mapInArrow(full, OCCURRENCES)
     return stored(found.join(often, "anchor"), "repeat-occurrences")
 
 
-CUT = "context long, anchor long, root long, lead int, n long, origin long, lo int, hi int, text binary"
+CUT = "context long, anchor long, root long, lead int, n long, origin long, shift int, lo int, hi int, text binary"
+
+
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, s: RepeatSettings) -> DataFrame:
     """The bytes of one occurrence of each wanted context."""
-    per_row = wanted.groupBy(F.col("at.row_key").alias("row_key"), F.col("at.text_key").alias("text_key")).agg(
-        F.collect_list(F.struct("context", "anchor", "n", F.col("at.place").alias("place"), "lead", "size")).alias("parts")
+    per_row = wanted.groupBy(F.col("at._row_key").alias("_row_key"), F.col("at._text_key").alias("_text_key")).agg(
+        F.collect_list(F.struct("context", "anchor", "n", F.col("at.place").alias("place"), "lead", "size")).alias("_parts")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, keys = batch.column("parts"), batch.column("text"), batch.column("row_key")
-            others = batch.column("text_key")
+            rows, texts, keys = batch.column("_parts"), batch.column("text"), batch.column("_row_key")
+            others = batch.column("_text_key")
             for k in range(len(rows)):
                 data = (texts[k].as_py() or "").encode()
                 origin = int(mix(np.array([keys[k].as_py(), others[k].as_py()], np.int64).view(np.uint64)).sum())
                 out = []
                 for p in rows[k].as_py():
-                    start = (origin + p["place"]) % (1 << 64)
-                    out.append((p["context"], p["anchor"], p["anchor"], p["lead"], p["n"], start - (1 << 64) * (start >> 63), p["lead"], p["lead"] + s.anchor, data[p["place"] : p["place"] + p["size"]]))
+                    start = origin + p["place"]
+                    out.append((p["context"], p["anchor"], p["anchor"], p["lead"], p["n"], _signed(start), 0, p["lead"], p["lead"] + s.anchor, data[p["place"] : p["place"] + p["size"]]))
                 frame = pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
                 yield pa.RecordBatch.from_pandas(frame, cut_schema, preserve_index=False)
 
-    cut_schema = pa.schema([("context", pa.int64()), ("anchor", pa.int64()), ("root", pa.int64()), ("lead", pa.int32()), ("n", pa.int64()), ("origin", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
-    return docs.join(per_row, ["row_key", "text_key"]).mapInArrow(cut, CUT)
+    cut_schema = pa.schema([("context", pa.int64()), ("anchor", pa.int64()), ("root", pa.int64()), ("lead", pa.int32()), ("n", pa.int64()), ("origin", pa.int64()), ("shift", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
+    return docs.join(per_row, ["_row_key", "_text_key"]).mapInArrow(cut, CUT)
 
 
 def _longer_anchors(s: RepeatSettings):
-    """Strings around an anchor hold more of it on the left or on the right: two longer anchors take its place."""
+    """Strings around an anchor hold more of it on the left or on the right: two longer anchors take its place.
+
+    text is cut to what strings with the longer anchor can cover; shift is where it now starts in the context.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,11 +289,16 @@ def _longer_anchors(s: RepeatSettings):
             for r in batch.to_pylist():
                 more = (s.length - (r["hi"] - r["lo"]) + 1) // 2
                 for lo, hi in ((r["lo"] - more, r["hi"]), (r["lo"], r["hi"] + more)):
-                    if lo >= 0 and hi <= len(r["text"]):
-                        # the first anchor and its place stay part of the key, as they keep equal strings apart
-                        mark = f"{r['root']},{r['lead'] - lo}".encode()
-                        key = hashlib.blake2b(r["text"][lo:hi], digest_size=8, key=mark).digest()
-                        out.append(r | {"anchor": int.from_bytes(key, "big", signed=True), "lo": lo, "hi": hi})
+                    if lo < 0 or hi > len(r["text"]):
+                        continue
+                    # the first anchor and its place stay part of the key, as they keep equal strings apart
+                    mark = f"{r['root']},{r['lead'] - lo}".encode()
+                    key = hashlib.blake2b(r["text"][lo:hi], digest_size=8, key=mark).digest()
+                    cut = max(0, hi - s.length)
+                    out.append(r | {
+                        "anchor": int.from_bytes(key, "big", signed=True), "lead": r["lead"] - cut, "lo": lo - cut, "hi": hi - cut,
+                        "shift": r["shift"] + cut, "origin": _signed(r["origin"] + cut), "text": r["text"][cut : lo + s.length],
+                    })
             yield pa.RecordBatch.from_pylist(out, batch.schema)
 
     return run
@@ -282,7 +318,7 @@ def _match(parts: DataFrame, s: RepeatSettings) -> DataFrame:
         for own in np.split(np.arange(len(found)), np.flatnonzero(np.diff(owner)) + 1):
             if len(own):
                 k = owner[own[0]]
-                at = found[own] - starts[k]
+                at = found[own] - starts[k] + rows["shift"].iloc[k]
                 out.append((rows["context"].iloc[k], [{"a": a, "b": b} for a, b in merged(at, at + s.length)]))
         return pd.DataFrame(out, columns=["context", "spans"])
 
@@ -290,11 +326,11 @@ def _match(parts: DataFrame, s: RepeatSettings) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> DataFrame:
-    """row_key, text_key, spans: bytes of each text covered by strings that start anywhere else too; docs is keyed()."""
+    """_row_key, _text_key, spans: bytes of each text covered by strings that start anywhere else too; docs is keyed()."""
     seen = _repeated_occurrences(docs, s)
     distinct = seen.groupBy("context").agg(
         F.first("anchor").alias("anchor"), F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("size").alias("size"),
-        F.min(F.struct("row_key", "text_key", "place")).alias("at"),
+        F.min(F.struct("_row_key", "_text_key", "place")).alias("at"),
     )
     distinct = stored(distinct, "repeat-contexts")
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
@@ -304,40 +340,38 @@ def repeated_spans(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> Dat
     whole = distinct.where("n > 1").select("context", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
     verdicts = whole
     if facts["bytes"]:
-        n_buckets = -(-facts["bytes"] // s.index_bytes)
-        in_bucket = F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("bucket")
         parts = _cut(docs, some.where(F.col("n_contexts") <= s.group), s)
-        verdicts = verdicts.unionByName(_match(parts.select("*", in_bucket), s))
         if facts["most"] > s.group:
-            verdicts = verdicts.unionByName(_match_hot(_cut(docs, some.where(F.col("n_contexts") > s.group), s), in_bucket, s))
+            split, same = _split(_cut(docs, some.where(F.col("n_contexts") > s.group), s), s)
+            parts, verdicts = parts.unionByName(split), verdicts.unionByName(same)
+        n_buckets = -(-facts["bytes"] // s.index_bytes)
+        verdicts = verdicts.unionByName(_match(parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))), s))
     marks = (
-        seen.join(verdicts, "context").select("row_key", "text_key", "place", F.explode("spans").alias("m"))
-        .select("row_key", "text_key", F.struct((F.col("place") + F.col("m.a")).alias("a"), (F.col("place") + F.col("m.b")).alias("b")).alias("m"))
+        seen.join(verdicts, "context").select("_row_key", "_text_key", "place", F.explode("spans").alias("m"))
+        .select("_row_key", "_text_key", F.struct((F.col("place") + F.col("m.a")).alias("a"), (F.col("place") + F.col("m.b")).alias("b")).alias("m"))
     )
-    return marks.groupBy("row_key", "text_key").agg(F.collect_set("m").alias("spans"))
+    return marks.groupBy("_row_key", "_text_key").agg(F.collect_set("m").alias("spans"))
+
 
+def _split(parts: DataFrame, s: RepeatSettings) -> tuple[DataFrame, DataFrame]:
+    """Anchors with very many contexts: longer anchors split them, until groups are small or the anchor is the string.
 
-def _match_hot(parts: DataFrame, in_bucket, s: RepeatSettings) -> DataFrame:
-    """Anchors with very many contexts: longer anchors split them, until groups are small or the anchor is the string."""
-    out = None
-    width = s.anchor
-    while True:
+    Returns the contexts in small groups, and (context, spans) where all of a group hold the same string.
+    """
+    small, width = parts.where("false"), s.anchor
+    same = None
+    while same is None:
         width += (s.length - width + 1) // 2
-        parts = stored(parts.mapInArrow(_longer_anchors(s), CUT).dropDuplicates(["context", "lo", "hi"]), "repeat-split")
+        parts = stored(parts.mapInArrow(_longer_anchors(s), CUT).dropDuplicates(["context", "shift", "lo", "hi"]), "repeat-split")
         sizes = parts.groupBy("anchor").agg(F.count("*").alias("members"), F.max("n").alias("often"))
-        if width >= s.length:
-            # all members of a group hold the same string
-            done = parts.join(sizes.where("members > 1 OR often > 1"), "anchor").select(
-                "context", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("spans")
-            )
-            return done if out is None else out.unionByName(done)
-        sized = parts.join(sizes.where("members > 1"), "anchor")
-        matched = _match(sized.where(F.col("members") <= s.group).select(*parts.columns, in_bucket), s)
-        out = matched if out is None else out.unionByName(matched)
-        hot = sized.where(F.col("members") > s.group)
-        if hot.isEmpty():
-            return out
-        parts = hot.select(*parts.columns)
+        if width < s.length:
+            sized = stored(parts.join(sizes.where("members > 1"), "anchor"), "repeat-sized")
+            small = small.unionByName(sized.where(F.col("members") <= s.group).select(*parts.columns))
+            parts = sized.where(F.col("members") > s.group).select(*parts.columns)
+        else:
+            span = F.struct((F.col("shift") + F.col("lo")).alias("a"), (F.col("shift") + F.col("hi")).alias("b"))
+            same = parts.join(sizes.where("members > 1 OR often > 1"), "anchor").select("context", F.array(span).alias("spans"))
+    return small, same
 
 
 def with_repeats(docs: DataFrame, column: str = "repeats", s: RepeatSettings = RepeatSettings()) -> DataFrame:
@@ -348,12 +382,10 @@ def with_repeats(docs: DataFrame, column: str = "repeats", s: RepeatSettings = R
     twice, and of these one copy of each distinct context, are compared; contexts are grouped by anchor and indexed in
     buckets of bounded size.
     """
-    rows = keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(rows, s).withColumnRenamed("spans", column).withColumnsRenamed({"row_key": "__repeat_row", "text_key": "__repeat_text"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row_key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
-    here = docs.drop(column)
-    return here.join(spans, (row_key == F.col("__repeat_row")) & (F.xxhash64(text, F.lit(8)) == F.col("__repeat_text")), "left").drop("__repeat_row", "__repeat_text")
+    # both joins of the texts deal them out alike, so that they are shuffled once
+    rows = keyed(docs.drop(column))
+    spans = repeated_spans(rows, s).withColumnRenamed("spans", column)
+    return rows.join(spans, ["_row_key", "_text_key"], "left").select(*[c for c in docs.columns if c != column], column)
 
 
 def kept_bytes(text: str | None, spans: list[dict] | None) -> tuple[bytes, int, int]:
