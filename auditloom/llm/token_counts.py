@@ -34,7 +34,7 @@ def line_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(data == 0x0A) + 1
     if len(data) and (not len(ends) or ends[-1] < len(data)):
         ends = np.append(ends, len(data))
-    return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
+    return np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64), ends.astype(np.int64)
 
 
 def allot(begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> np.ndarray:
