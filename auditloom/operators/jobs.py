@@ -59,12 +59,12 @@ def job_lookup(jobs: DataFrame, job_id: str) -> DataFrame:
 
 
 def job_outcome(report: DataFrame, at: Column | None = None) -> DataFrame:
-    """Closing event of each audited job from its report (`job_id` on the report row)."""
+    """Closing event of each audited job from its site report (`job_id` on the report row)."""
     at = F.current_timestamp() if at is None else at
-    error = F.when(F.col("pages_crawled") == 0, F.lit(UNREACHED)).when(F.size("pages") == 0, F.lit(BLOCKED))
-    done = report.where("part = 0").withColumn("error_message", error)
+    error = F.when(F.col("pages_crawled") == 0, F.lit(UNREACHED)).when(F.col("pages_scored") == 0, F.lit(BLOCKED))
+    done = report.withColumn("error_message", error)
     good = F.col("error_message").isNull()
-    body = F.struct(*[c for c in report.columns if c not in ("site_id", "job_id", "part")])
+    body = F.struct(*[c for c in report.columns if c not in ("site_id", "job_id")])
     return done.select(
         "job_id",
         at.alias("ts"),
@@ -77,9 +77,9 @@ def job_outcome(report: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """The report as one JSON text per row."""
-    body = F.struct(*[c for c in report.columns if c not in ("site_id", "part")])
-    return report.select("site_id", "part", F.to_json(body).alias("result"))
+    """The site report as one JSON text per site."""
+    body = F.struct(*[c for c in report.columns if c != "site_id"])
+    return report.select("site_id", F.to_json(body).alias("result"))
 
 
 def read_reports(jobs: DataFrame) -> DataFrame:
@@ -92,3 +92,9 @@ def read_reports(jobs: DataFrame) -> DataFrame:
             **({"error_message": F.nullif(F.col("error_message"), F.lit(""))} if "error_message" in jobs.columns else {}),
         }
     )
+
+
+def report_pages(jobs: DataFrame, details: DataFrame) -> DataFrame:
+    """All pages of every successful job, a row each; `details` carries `job_id` beside `page_details`."""
+    done = jobs.where(F.lower("status") == "success").select("job_id")
+    return details.join(done, "job_id", "left_semi")

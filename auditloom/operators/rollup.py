@@ -8,7 +8,6 @@ from auditloom.operators.scoring import CATEGORIES
 from auditloom.schemas import MESSAGE_ORDER
 
 TOP = 5
-PAGES_PER_ROW = 64
 
 
 def mean_half_even(col: str) -> Column:
@@ -72,8 +71,12 @@ def top_lists(tops: DataFrame, prefix: str = "") -> DataFrame:
 
 def crawl_durations(captures: DataFrame) -> DataFrame:
     """Seconds between the first and the last capture of a site."""
+    return captures.groupBy("site_id").agg(_duration("crawl_duration_seconds"))
+
+
+def _duration(name: str) -> Column:
     span = F.max("fetched_at").cast("timestamp").cast("double") - F.min("fetched_at").cast("timestamp").cast("double")
-    return captures.groupBy("site_id").agg(span.alias("crawl_duration_seconds"))
+    return span.alias(name)
 
 
 def category_rollup(scores: DataFrame) -> DataFrame:
@@ -94,102 +97,87 @@ def category_rollup(scores: DataFrame) -> DataFrame:
     ).where("site_id IS NOT NULL")
 
 
-def _part(pages_per_row: int) -> Column:
-    return F.floor(F.col("crawl_pos") / pages_per_row).cast("int")
-
-
 def site_report(
     sites: DataFrame,
     captures: DataFrame,
     scores: DataFrame,
     unreachable: DataFrame,
     semantic_pages: DataFrame,
-    pages_per_row: int = PAGES_PER_ROW,
 ) -> DataFrame:
-    """Nested report: scores, top lists and page details of a site.
+    """One row per site: scores, page counts, top lists and crawl duration.
 
-    `sites` holds (site_id, url); the others carry site_id and crawl_pos. Page details sit in arrays of
-    at most `pages_per_row` pages: row `part` 0, 1, ... of a site, so no site is gathered whole. A crawl
-    with a limit below `pages_per_row - 2` always gives exactly one row per site.
+    `sites` holds (site_id, url); the others carry site_id. Every table is combined per site before it is joined, so
+    no site is gathered; `page_details` holds the pages, a row each.
     """
     from auditloom.operators.semantic import site_semantic, top_semantic_messages
 
-    counts = captures.groupBy("site_id").agg(F.count("*").cast("int").alias("pages_crawled"))
+    counts = captures.groupBy("site_id").agg(
+        F.count("*").cast("int").alias("pages_crawled"), _duration("crawl_duration_seconds")
+    )
     semantic = site_semantic(semantic_pages).select("site_id", F.col("overall_score").alias("semantic_score"))
-    empty = F.array().cast("array<string>")
-    summary = sites.select("site_id", "url")
+    gone = unreachable.groupBy("site_id").agg(F.count("*").cast("int").alias("pages_unreachable"))
+    report = sites.select("site_id", "url")
     for table in (
         counts,
-        site_scores(scores).drop("pages_scored"),
+        site_scores(scores),
+        gone,
         semantic,
         top_lists(top_messages(site_messages(scores))),
         top_lists(top_semantic_messages(semantic_pages), "semantic_"),
-        crawl_durations(captures),
     ):
-        summary = summary.join(table, "site_id", "left")
+        report = report.join(table, "site_id", "left")
+    empty = F.array().cast("array<string>")
+    return report.select(
+        "site_id",
+        "url",
+        *[
+            F.coalesce(c, F.lit(0)).alias(c)
+            for c in ("pages_crawled", "pages_scored", "pages_unreachable", "overall_score", "semantic_score")
+        ],
+        *[
+            F.coalesce(c, empty).alias(c)
+            for c in ("findings", "recommendations", "semantic_findings", "semantic_recommendations")
+        ],
+        F.coalesce("crawl_duration_seconds", F.lit(0.0)).alias("crawl_duration_seconds"),
+    )
 
-    part = _part(pages_per_row).alias("part")
-    categories = [F.col(c) for c in CATEGORIES]
-    page = F.struct("url", "overall_score", *categories)
-    gone = F.struct("url", "status_code", "reason")
+
+def page_details(scores: DataFrame, unreachable: DataFrame, semantic_pages: DataFrame) -> DataFrame:
+    """One row per audited page of a site: site_id, crawl_pos, url and, where it has them, the structs `page` (scores
+    by category), `semantic` and `unreachable`. A site may have any number of pages."""
+    page = F.struct("overall_score", *[F.col(c) for c in CATEGORIES])
+    gone = F.struct("status_code", "reason")
     section = F.transform(
         "section_scores",
         lambda s: F.struct(s.heading, s.section_position, s.alignment_score, s.finding, s.recommendation),
     ).alias("section_scores")
-    meaning = F.struct("url", "overall_score", section, "finding", "recommendation")
+    meaning = F.struct("overall_score", section, "finding", "recommendation")
 
     def rows(df: DataFrame, name: str, item: Column) -> DataFrame:
-        return df.select("site_id", part, "crawl_pos", item.alias(name))
+        return df.select("site_id", "crawl_pos", "url", item.alias(name))
 
-    details = (
+    both = (
         rows(scores, "page", page)
-        .unionByName(rows(unreachable, "gone", gone), allowMissingColumns=True)
-        .unionByName(rows(semantic_pages, "meaning", meaning), allowMissingColumns=True)
+        .unionByName(rows(unreachable, "unreachable", gone), allowMissingColumns=True)
+        .unionByName(rows(semantic_pages, "semantic", meaning), allowMissingColumns=True)
     )
-
-    def gathered(name: str) -> Column:
-        pairs = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("crawl_pos", name)))
-        # maps have no order, so sort on the position alone
-        ordered = F.array_sort(pairs, lambda a, b: a.crawl_pos - b.crawl_pos)
-        return F.transform(ordered, lambda x: x[name])
-
-    parts = details.groupBy("site_id", "part").agg(
-        gathered("page").alias("pages"),
-        gathered("gone").alias("unreachable_pages"),
-        gathered("meaning").alias("semantic_pages"),
-    )
-    report = summary.join(parts, "site_id", "left")
-    return report.select(
-        "site_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        "url",
-        F.coalesce("pages_crawled", F.lit(0)).alias("pages_crawled"),
-        F.coalesce("overall_score", F.lit(0)).alias("overall_score"),
-        F.coalesce("semantic_score", F.lit(0)).alias("semantic_score"),
-        *[
-            F.coalesce(c, empty).alias(c)
-            for c in ("findings", "recommendations", "semantic_findings", "semantic_recommendations")
-        ],
-        *[
-            F.coalesce(c, F.array().cast(parts.schema[c].dataType)).alias(c)
-            for c in ("pages", "semantic_pages", "unreachable_pages")
-        ],
-        F.coalesce("crawl_duration_seconds", F.lit(0.0)).alias("crawl_duration_seconds"),
+    return both.groupBy("site_id", "crawl_pos").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("url", "page", "semantic", "unreachable")]
     )
 
 
 def audit_digest(report: DataFrame) -> DataFrame:
     """Flat summary of a finished audit: what a notification shows."""
-    cut = [
+    lists = [
         F.slice(c, 1, TOP).alias(c)
         for c in ("findings", "semantic_findings", "recommendations", "semantic_recommendations")
     ]
-    return report.where("part = 0").select(
+    return report.select(
         "site_id",
         "url",
         "overall_score",
         "semantic_score",
         "pages_crawled",
         F.bround("crawl_duration_seconds", 2).alias("crawl_duration_seconds"),
-        *cut,
+        *lists,
     )

@@ -87,40 +87,56 @@ def report_write(spark, d):
 
     return text.select(
         "site_id",
-        "part",
         field("$.url").alias("url"),
         field("$.pages_crawled").cast("int").alias("pages_crawled"),
         field("$.overall_score").cast("int").alias("overall_score"),
         field("$.findings[0]").alias("first_finding"),
-        F.coalesce(F.json_array_length(field("$.pages")), F.lit(0)).alias("n_pages"),
-        field("$.pages[0].metadata.metrics.title").cast("int").alias("first_title_points"),
+        field("$.pages_scored").cast("int").alias("n_pages"),
     )
 
 
-def _jobs_with_reports(spark, d):
-    report = _audit(spark, d).report.withColumn("job_id", F.concat(F.lit("job-"), "site_id"))
-    at = F.timestamp_seconds(F.lit(1704153600))
-    return J.job_outcome(report, at)
+def _job_id():
+    return F.concat(F.lit("job-"), "site_id")
+
+
+def _jobs_with_reports(report):
+    return J.job_outcome(report.withColumn("job_id", _job_id()), F.timestamp_seconds(F.lit(1704153600)))
 
 
 @query
 def report_read(spark, d):
-    typed = J.read_reports(_jobs_with_reports(spark, d))
+    audit = _audit(spark, d)
+    jobs = _jobs_with_reports(audit.report)
+    pages = J.report_pages(jobs, audit.details.withColumn("job_id", _job_id()))
+    points = pages.groupBy("job_id").agg(
+        F.count("page").cast("int").alias("n_pages"), F.sum(F.col("page.content_quality.score")).cast("int").alias("content_points")
+    )
     r = F.col("result")
-    return typed.select(
+    return J.read_reports(jobs).join(points, "job_id", "left").select(
         "job_id",
         "status",
         "error_message",
         r.overall_score.alias("overall_score"),
         r.pages_crawled.alias("pages_crawled"),
         joined(r.findings).alias("findings"),
-        F.aggregate(r.pages, F.lit(0), lambda acc, p: acc + p.content_quality.score).alias("content_points"),
+        "n_pages",
+        "content_points",
+    )
+
+
+@query
+def report_pages(spark, d):
+    audit = _audit(spark, d)
+    return audit.details.select(
+        "site_id", "crawl_pos", "url", F.col("page.overall_score").alias("page_score"),
+        F.col("semantic.overall_score").alias("semantic_score"), F.size("semantic.section_scores").alias("n_sections"),
+        F.col("unreachable.status_code").alias("gone_code"), F.col("unreachable.reason").alias("gone_reason"),
     )
 
 
 @query
 def job_outcome(spark, d):
-    return _jobs_with_reports(spark, d).select(
+    return _jobs_with_reports(_audit(spark, d).report).select(
         "job_id", "status", "error_message", "url", F.col("result").isNotNull().alias("has_result")
     )
 
@@ -484,11 +500,8 @@ def top_recommendations(spark, d):
 def site_report(spark, d):
     report = _audit(spark, d).report
     return report.select(
-        "site_id", "part", "url", "pages_crawled", "overall_score", "semantic_score",
+        "site_id", "url", "pages_crawled", "pages_scored", "pages_unreachable", "overall_score", "semantic_score",
         *[joined(F.col(c)).alias(c) for c in ("findings", "recommendations", "semantic_findings", "semantic_recommendations")],
-        joined(F.transform("pages", lambda p: p.overall_score.cast("string"))).alias("page_scores"),
-        joined(F.transform("semantic_pages", lambda p: p.overall_score.cast("string"))).alias("semantic_page_scores"),
-        joined(F.transform("unreachable_pages", lambda p: F.concat(p.status_code.cast("string"), F.lit(" "), p.reason))).alias("unreachable"),
         "crawl_duration_seconds",
     )
 
@@ -655,9 +668,10 @@ def stream_page_audit(spark, d):
         F.timestamp_seconds(1704067200 + F.col("page_id")).alias("fetched_at"),
     )
     ST.page_audit_stream(captures, _sites(spark, d), folder, f"{folder}/state").awaitTermination()
-    return ST.read_latest_reports(spark, folder).select(
-        "site_id", "part", "pages_crawled", "overall_score", joined(F.col("findings")).alias("findings"),
-        joined(F.transform("pages", lambda p: p.overall_score.cast("string"))).alias("page_scores"),
+    pages = ST.read_latest_details(spark, folder).groupBy("site_id").agg(F.sum("page.overall_score").alias("points"))
+    return ST.read_latest_reports(spark, folder).join(pages, "site_id", "left").select(
+        "site_id", "pages_crawled", "pages_scored", "overall_score", "semantic_score",
+        joined(F.col("findings")).alias("findings"), joined(F.col("semantic_findings")).alias("semantic_findings"), "points",
     )
 
 

@@ -403,25 +403,26 @@ check("site_semantic", with_ctes(_VECTORS, _VALIGN, _VPAGES, semantic_site("vpag
 _SPAGES = f"spages as materialized (select p.site_id, p.crawl_pos, q.*, {_PBANDS} from ({page_means('aligned', 'page_id')}) q join pages_in p using (page_id))"
 _REPORT = """
 tl as (select site_id, string_agg(message, '|' order by "rank") filter (kind='finding') findings, string_agg(message, '|' order by "rank") filter (kind='recommendation') recommendations from top group by 1),
-pg as (select site_id, CAST(crawl_pos//64 AS INT) part, count(*) n_pages, string_agg(CAST(overall_score AS VARCHAR), '|' order by crawl_pos) page_scores, first(s_title order by crawl_pos) first_title, sum(content_quality_score) content_points from paged group by all),
-sp as (select site_id, CAST(crawl_pos//64 AS INT) part, string_agg(CAST(overall_score AS VARCHAR), '|' order by crawl_pos) semantic_page_scores from spages group by all),
-un as (select site_id, CAST(crawl_pos//64 AS INT) part, string_agg(concat(status_code, ' ', reason), '|' order by crawl_pos) unreachable from pages_in join reasons using (status_code) group by all),
-parts as (select site_id, part from pg union select site_id, part from sp union select site_id, part from un),
+sm as (select site_id, CAST(count(*) AS INT) pages_scored, CAST(round_even(CAST(sum(overall_score) AS DOUBLE)/count(*), 0) AS INT) overall_score, CAST(sum(content_quality_score) AS INT) content_points, sum(overall_score) points from paged group by 1),
+un as (select site_id, CAST(count(*) AS INT) pages_unreachable from pages_in join reasons using (status_code) group by 1),
 cap as (select site_id, CAST(count(*) AS INT) pages_crawled, CAST(max(fetched)-min(fetched) AS DOUBLE) secs from pages_in group by 1),
-sm as (select site_id, CAST(round_even(CAST(sum(overall_score) AS DOUBLE)/count(*), 0) AS INT) overall_score from paged group by 1),
-report as materialized (select sites.site_id, coalesce(parts.part, 0) part, sites.url, coalesce(pages_crawled, 0) pages_crawled, coalesce(sm.overall_score, 0) overall_score, coalesce(ssem.overall_score, 0) semantic_score,
+report as materialized (select sites.site_id, sites.url, coalesce(pages_crawled, 0) pages_crawled, coalesce(pages_scored, 0) pages_scored, coalesce(pages_unreachable, 0) pages_unreachable, coalesce(sm.overall_score, 0) overall_score, coalesce(ssem.overall_score, 0) semantic_score,
  coalesce(tl.findings, '') findings, coalesce(tl.recommendations, '') recommendations, coalesce(ssem.findings, '') semantic_findings, coalesce(ssem.recommendations, '') semantic_recommendations,
- coalesce(page_scores, '') page_scores, coalesce(semantic_page_scores, '') semantic_page_scores, coalesce(unreachable, '') unreachable, coalesce(secs, 0.0) crawl_duration_seconds, coalesce(n_pages, 0) n_pages, first_title, content_points
- from sites left join parts using (site_id) left join cap using (site_id) left join sm using (site_id) left join ssem using (site_id) left join tl using (site_id) left join pg on pg.site_id=parts.site_id and pg.part=parts.part left join sp on sp.site_id=parts.site_id and sp.part=parts.part left join un on un.site_id=parts.site_id and un.part=parts.part)
+ coalesce(secs, 0.0) crawl_duration_seconds, content_points, points
+ from sites left join cap using (site_id) left join sm using (site_id) left join un using (site_id) left join ssem using (site_id) left join tl using (site_id))
 """
 REPORT_ALL = [*SITE_ALL, _BAG, _SPAGES, semantic_site("spages", "site_id", "crawl_pos"), _REPORT]
 _LISTS = "findings, recommendations, semantic_findings, semantic_recommendations"
-check("site_report", with_ctes(*REPORT_ALL) + f"select site_id, part, url, pages_crawled, overall_score, semantic_score, {_LISTS}, page_scores, semantic_page_scores, unreachable, crawl_duration_seconds from report")
-check("audit_digest", with_ctes(*REPORT_ALL) + f"select site_id, url, overall_score, semantic_score, pages_crawled, crawl_duration_seconds, {_LISTS} from report where part=0")
-check("report_write", with_ctes(*REPORT_ALL) + "select site_id, part, url, pages_crawled, overall_score, nullif(split_part(findings, '|', 1), '') first_finding, CAST(n_pages AS INT) n_pages, first_title first_title_points from report")
-_ERROR = f"case when pages_crawled=0 then '{UNREACHED}' when n_pages=0 then '{BLOCKED}' end"
-check("job_outcome", with_ctes(*REPORT_ALL) + f"select concat('job-', site_id) job_id, case when {_ERROR} is null then 'SUCCESS' else 'FAILURE' end status, {_ERROR} error_message, case when {_ERROR} is null then url end url, {_ERROR} is null has_result from report where part=0")
-check("report_read", with_ctes(*REPORT_ALL) + f"select concat('job-', site_id) job_id, case when {_ERROR} is null then 'success' else 'failure' end status, {_ERROR} error_message, case when {_ERROR} is null then overall_score end overall_score, case when {_ERROR} is null then pages_crawled end pages_crawled, case when {_ERROR} is null then findings end findings, case when {_ERROR} is null then CAST(content_points AS INT) end content_points from report where part=0")
+check("site_report", with_ctes(*REPORT_ALL) + f"select site_id, url, pages_crawled, pages_scored, pages_unreachable, overall_score, semantic_score, {_LISTS}, crawl_duration_seconds from report")
+check("audit_digest", with_ctes(*REPORT_ALL) + f"select site_id, url, overall_score, semantic_score, pages_crawled, crawl_duration_seconds, {_LISTS} from report")
+check("report_write", with_ctes(*REPORT_ALL) + "select site_id, url, pages_crawled, overall_score, nullif(split_part(findings, '|', 1), '') first_finding, pages_scored n_pages from report")
+check("report_pages", with_ctes(*REPORT_ALL) + "select p.site_id, p.crawl_pos, p.url, g.overall_score page_score, s.overall_score semantic_score, s.n_sections, r.status_code gone_code, r.reason gone_reason from pages_in p left join paged g using (site_id, crawl_pos) left join (select spages.*, CAST(n AS INT) n_sections from spages join (select page_id, count(*) n from aligned group by 1) using (page_id)) s using (site_id, crawl_pos) left join reasons r on r.status_code=p.status_code where g.overall_score is not null or s.overall_score is not null or r.reason is not null")
+_ERROR = f"case when pages_crawled=0 then '{UNREACHED}' when pages_scored=0 then '{BLOCKED}' end"
+check("job_outcome", with_ctes(*REPORT_ALL) + f"select concat('job-', site_id) job_id, case when {_ERROR} is null then 'SUCCESS' else 'FAILURE' end status, {_ERROR} error_message, case when {_ERROR} is null then url end url, {_ERROR} is null has_result from report")
+check("report_read", with_ctes(*REPORT_ALL) + f"select concat('job-', site_id) job_id, case when {_ERROR} is null then 'success' else 'failure' end status, {_ERROR} error_message, case when {_ERROR} is null then overall_score end overall_score, case when {_ERROR} is null then pages_crawled end pages_crawled, case when {_ERROR} is null then findings end findings, case when {_ERROR} is null then pages_scored end n_pages, case when {_ERROR} is null then content_points end content_points from report")
+
+_RAW = "pages_in as materialized (select CAST(page_id%8 AS INT) site_id, CAST(page_id//8 AS INT) crawl_pos, page_id, url, CAST(200 AS INT) status_code, 1704067200+page_id fetched, html from pages)"
+check("stream_page_audit", with_ctes(_RAW, *REPORT_ALL[1:]) + "select site_id, pages_crawled, pages_scored, overall_score, semantic_score, findings, semantic_findings, CAST(points AS BIGINT) points from report where pages_crawled>0")
 
 # jobs
 _STATE = f"select job_id, arg_max(status, (ts, event_id)) status, arg_max(error_message, (ts, event_id)) filter (error_message is not null) error_message, min(ts) created_at, max(ts) updated_at from ({X.JOB_EVENTS.strip()}) e group by 1"

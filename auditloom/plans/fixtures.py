@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["pages", "documents", "conversations", "embeddings", "events"]
 
 ENRICHED_PAGES = """
-with faq as (select conv_id, max(case when turn=0 then trim(substr(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/),1,40)) end) q, max(case when turn=1 then trim(substr(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/),1,CAST(30+(conv_id*53)%400 AS INT))) end) a from conversations group by conv_id),
-met as (select p.page_id, p.url, p.html, faq.q, faq.a, doc.doc_id, doc.text from pages p left join documents doc on doc.doc_id=p.page_id left join faq on faq.conv_id=p.page_id),
-mix as (select page_id, url, html, q, a, trim(substr(regexp_replace(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/),' +',' ' /*G*/),1,CAST(20+(doc_id*37)%160 AS INT))) w from met)
+with faq as (select conv_id, max(case when turn=0 then trim(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/)) end) q, max(case when turn=1 then trim(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/)) end) a, max(case when turn=2 then trim(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/)) end) q2, max(case when turn=3 then trim(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/)) end) a2 from conversations group by conv_id),
+met as (select p.page_id, p.url, p.html, faq.q, faq.a, faq.q2, faq.a2, doc.text from pages p left join documents doc on doc.doc_id=p.page_id left join faq on faq.conv_id=p.page_id),
+mix as (select page_id, url, html, q, a, q2, a2, trim(regexp_replace(regexp_replace(text,'[^A-Za-z]+',' ' /*G*/),' +',' ' /*G*/)) w, trim(regexp_replace(split_part(text,chr(10),1),'[^A-Za-z]+',' ' /*G*/)) line, trim(regexp_replace(split_part(text,'.',1),'[^A-Za-z]+',' ' /*G*/)) head from met)
 select p.page_id, p.url, CAST(case when p.page_id%17=5 then 404 when p.page_id%17=9 then 201 else 200 end AS INT) status_code,
  replace(replace(p.html,'</title>', concat('</title>',
-  case when p.page_id%5=0 then '' else concat('<meta name="description" content="',coalesce(p.w,''),'">') end,
-  case p.page_id%7 when 1 then '<meta name="robots" content="INDEX, follow">' when 2 then '<meta name="robots" content="noindex">' when 3 then '<meta name="robots" content="none">' when 4 then '<meta name="robots" content="noarchive">' when 5 then '<meta name="robots">' else '' end,
+  case when p.page_id%5=0 then '' else concat('<meta name="description" content="',coalesce(p.line,''),'">') end,
+  case p.page_id%7 when 1 then '<meta name="robots" content="INDEX, follow">' when 2 then '<meta name="robots" content="noindex">' when 3 then '<meta name="robots" content="none">' when 4 then '<meta name="robots" content="noarchive">' when 6 then '<meta name="robots" content="index, nosnippet">' when 5 then '<meta name="robots">' else '' end,
   case when p.page_id%3=0 then '' else concat('<link rel="canonical" href="',p.url,'">') end,
   case p.page_id%6 when 0 then '' when 1 then '<script type="application/ld+json">{"@type":"Article"</script>' when 2 then '<script type="application/ld+json">{"@type":["Product","Organization","Article","BreadcrumbList","LocalBusiness","Person","WebPage"]}</script>'
    when 3 then '<script type="application/ld+json">{"@graph":[{"@type":"Organization"},{"@type":"Product","brand":{"@type":"Person"}}]}</script>'
    else concat('<script type="application/ld+json">{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"',coalesce(p.q,'q'),'","acceptedAnswer":{"@type":"Answer","text":"',coalesce(p.a,'a'),'"}}',
-     repeat(concat(',{"name":"again","text":"',coalesce(p.w,'x'),'"}'),CAST(p.page_id%14 AS INT)),']}</script>') end)),
+     case when coalesce(p.q2,'')='' or coalesce(p.a2,'')='' then '' else concat(',{"@type":"Question","name":"',p.q2,'","acceptedAnswer":{"@type":"Answer","text":"',p.a2,'"}}') end,
+     repeat(concat(',{"name":"again","text":"',coalesce(p.line,'x'),'"}'),CAST(p.page_id%14 AS INT)),']}</script>') end)),
   '</article>', concat(
-   case when p.page_id%4=0 then '' else concat('<h2>',substr(coalesce(p.w,''),1,24),'</h2><p>',coalesce(p.w,''),'</p><div><h3>inner part</h3><p>nested</p></div><p>tail</p>') end,
+   case when p.page_id%9=2 then '<h1>one more</h1>' else '' end,
+   case when p.page_id%4=0 then '' else concat('<h2>',coalesce(p.head,''),'</h2><p>',coalesce(p.w,''),'</p><div><h3>inner part</h3><p>nested</p></div><p>tail</p>') end,
    repeat('<img src="a.png">',CAST(p.page_id%27 AS INT)),'<img src="b.png" alt="b">',case when p.page_id%27=0 then '' else '<img src="c.png" alt=" ">' end,case when p.page_id%3=1 then '<script type="application/ld+json">{"@type":"Event"}</script>' else '' end,
    repeat('<a href="../X/./y/?q=1#f">in</a>',CAST((p.page_id*7)%31 AS INT)),'<a href="https://other.example.org/">out</a><a href="mailto:a@b.c">m</a>','</article>')) html
 from mix p

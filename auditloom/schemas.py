@@ -12,28 +12,10 @@ CAPTURE_SCHEMA = T.StructType(
     ]
 )
 
-CATEGORY = (
-    "struct<score:int,max_possible:int,metrics:map<string,int>,"
-    "findings:array<string>,recommendations:array<string>>"
-)
-PAGE_REPORT = (
-    "struct<url:string,overall_score:int,metadata:{c},content_quality:{c},structured_data:{c},"
-    "connectivity:{c},technical_compliance:{c}>"
-).format(c=CATEGORY)
-UNREACHABLE = "struct<url:string,status_code:int,reason:string>"
-SECTION_SCORE = (
-    "struct<heading:string,section_position:int,alignment_score:int,finding:string,recommendation:string>"
-)
-PAGE_SEMANTIC = (
-    f"struct<url:string,overall_score:int,section_scores:array<{SECTION_SCORE}>,"
-    "finding:string,recommendation:string>"
-)
 REPORT_SCHEMA = (
-    "struct<url:string,pages_crawled:int,overall_score:int,semantic_score:int,"
+    "struct<url:string,pages_crawled:int,pages_scored:int,pages_unreachable:int,overall_score:int,semantic_score:int,"
     "findings:array<string>,recommendations:array<string>,"
-    "semantic_findings:array<string>,semantic_recommendations:array<string>,"
-    f"pages:array<{PAGE_REPORT}>,semantic_pages:array<{PAGE_SEMANTIC}>,"
-    f"unreachable_pages:array<{UNREACHABLE}>,crawl_duration_seconds:double>"
+    "semantic_findings:array<string>,semantic_recommendations:array<string>,crawl_duration_seconds:double>"
 )
 
 JOB_STATUSES = ["PENDING", "STARTED", "CRAWLING", "SCORING", "SUCCESS", "FAILURE"]
@@ -119,7 +101,7 @@ UNREACHABLE_REASONS = {
     511: "network sign-in needed",
 }
 
-# Category weights of the page score, in summation order.
+# Category weights of the page score, in summation order.
 CATEGORY_WEIGHTS = [
     ("structured_data", 0.40),
     ("metadata", 0.25),
@@ -127,7 +109,7 @@ CATEGORY_WEIGHTS = [
     ("connectivity", 0.10),
     ("technical_compliance", 0.05),
 ]
-# Order in which a page's messages are counted for the site's top lists.
+# Order in which a page's messages are counted for the site's top lists.
 MESSAGE_ORDER = ["structured_data", "connectivity", "content_quality", "technical_compliance", "metadata"]
 
 # Stable message codes and their wording. Codes ending in ':' take a number or a heading.
@@ -187,7 +169,7 @@ MESSAGES = {
     "hierarchy.add": "Add an h1 and h2 headings",
     "heading_words.good": "Headings have a suitable length",
     "heading_words.brief": "Headings are very brief",
-    "heading_words.off": "Headings are too long or empty",
+    "heading_words.off": "Some heading has no words or runs on for too many",
     "heading_words.lengthen": "Use five to ten words per heading",
     "heading_words.fix": "Keep headings between five and ten words",
     "body.empty": "There is no body text",
@@ -227,7 +209,7 @@ MESSAGES = {
     "links.add": "Link to other pages of the site",
     "links.add_more": "Add internal links",
     "links.reduce": "Keep only the relevant internal links",
-    "images.good": "All images have alt text",
+    "images.good": "No image is without an alternative text",
     "images.critical": "A great many images lack alt text",
     "images.missing:": "Images without alt text: ",
     "images.add": "Add alt text to the images",

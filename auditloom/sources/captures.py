@@ -22,10 +22,10 @@ def write_captures(pages: DataFrame, table: str, buckets: int) -> None:
     pages.write.bucketBy(buckets, "page_id").sortBy("page_id").mode("overwrite").saveAsTable(table)
 
 
-def write_reports(reports: DataFrame, path: str, fmt: str = "json", day: str | None = None) -> None:
-    """Store nested reports, partitioned by date when a day is given."""
-    writer = reports.withColumn("day", F.lit(day)) if day else reports
-    out = writer.write.format(fmt).mode("overwrite")
-    if day:
-        out = out.option("partitionOverwriteMode", "dynamic").partitionBy("day")
-    out.save(path)
+def write_reports(report: DataFrame, details: DataFrame, path: str, fmt: str = "json", day: str | None = None) -> None:
+    """Store site reports and their pages, partitioned by date when a day is given (a day written again is replaced)."""
+    for name, rows in (("sites", report), ("pages", details)):
+        out = (rows.withColumn("day", F.lit(day)) if day else rows).write.format(fmt).mode("overwrite")
+        if day:
+            out = out.option("partitionOverwriteMode", "dynamic").partitionBy("day")
+        out.save(f"{path}/{name}")

@@ -10,15 +10,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditloom.operators.cooldown import TTL_SECONDS
 from auditloom.operators.extract import parse_pages
 from auditloom.operators.jobs import latest_parts, merge_parts
-from auditloom.operators.rollup import site_report
+from auditloom.operators.rollup import page_details, site_report
 from auditloom.operators.scoring import score_pages, unreachable_pages
 from auditloom.operators.semantic import embed_with_bag, page_semantic, score_chunks, text_chunks
 from auditloom.session import checkpoint
@@ -103,6 +104,15 @@ def compact_job_state(spark: SparkSession, path: str, out: str) -> None:
     folded.write.mode("overwrite").parquet(f"{out}/batch_id=-1")
 
 
+SITE_PARTS = 64
+
+
+def _newest(captures: DataFrame, *more: str) -> DataFrame:
+    """The last capture of each page of a site."""
+    last = Window.partitionBy("site_id", "page_id").orderBy(F.desc("fetched_at"), *[F.desc(c) for c in more], F.desc("crawl_pos"))
+    return captures.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last")
+
+
 def page_audit_stream(
     captures: DataFrame,
     sites: DataFrame,
@@ -111,40 +121,66 @@ def page_audit_stream(
     embed=embed_with_bag,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Parse and score arriving captures (with site_id and crawl_pos) once and refresh the reports of
-    their sites. Window order is not available on streams, so each micro-batch is a batch job."""
+    """Parse and score arriving captures (with site_id and crawl_pos) once and refresh the reports of their sites.
+
+    A page captured again replaces its older capture. Stores are split by a hash of the site, so a batch reads back
+    only the parts its sites are in. Window order is not available on streams, so each micro-batch is a batch job.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        parsed = checkpoint(parse_pages(batch))
-        _write_batch(batch.drop("html"), f"{path}/captures", batch_id)
-        _write_batch(score_pages(parsed), f"{path}/scores", batch_id)
-        _write_batch(
-            unreachable_pages(parsed).select("site_id", "crawl_pos", "url", "status_code", "reason"),
-            f"{path}/unreachable",
-            batch_id,
-        )
-        _write_batch(page_semantic(score_chunks(embed(text_chunks(parsed)))), f"{path}/semantic", batch_id)
-        touched = parsed.select("site_id").distinct()
+        arrived = checkpoint(_newest(batch))
+        pages = arrived.drop("site_id", "crawl_pos").dropDuplicates(["page_id", "fetched_at"])
+        # sites may hold different captures of a page, so a capture is told by its time, too
+        key = F.xxhash64("page_id", "fetched_at")
+        parsed = parse_pages(pages.withColumns({"_page": F.col("page_id"), "page_id": key})).withColumn("page_id", F.col("_page")).drop("_page")
+        parsed = checkpoint(parsed.join(arrived.select("page_id", "fetched_at", "site_id", "crawl_pos"), ["page_id", "fetched_at"]))
+        part = F.pmod(F.xxhash64("site_id"), F.lit(SITE_PARTS)).cast("int").alias("site_part")
+
+        schemas = {}
+
+        def store(name: str, df: DataFrame) -> None:
+            # declared when read back: a store may have no file yet
+            schemas[name] = T.StructType([*df.schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("batch_id", "site_part")]])
+            out = df.select("*", part).write.mode("overwrite").partitionBy("site_part")
+            out.parquet(f"{path}/{name}/batch_id={batch_id}")
+
+        store("captures", arrived.drop("html"))
+        store("scores", score_pages(parsed))
+        store("unreachable", unreachable_pages(parsed).select("site_id", "page_id", "crawl_pos", "url", "status_code", "reason"))
+        store("semantic", page_semantic(score_chunks(embed(text_chunks(parsed)))))
+        touched = arrived.select("site_id").distinct()
+        parts = [r["site_part"] for r in touched.select(part).distinct().collect()]  # SITE_PARTS at most
 
         def stored(name: str) -> DataFrame:
-            rows = spark.read.parquet(f"{path}/{name}").where(F.col("batch_id") <= batch_id).drop("batch_id")
-            return rows.join(touched, "site_id", "left_semi")
-
-        report = site_report(
-            sites.join(touched, "site_id", "left_semi"),
-            stored("captures"),
-            stored("scores"),
-            stored("unreachable"),
-            stored("semantic"),
-        )
+            rows = spark.read.schema(schemas[name]).parquet(f"{path}/{name}").where((F.col("batch_id") <= batch_id) & F.col("site_part").isin(parts))
+            return rows.drop("site_part").join(touched, "site_id", "left_semi")
+
+        current = _newest(stored("captures"), "batch_id")
+        of_capture = current.select("site_id", "page_id", "batch_id")
+
+        def valid(name: str) -> DataFrame:
+            return stored(name).join(of_capture, ["site_id", "page_id", "batch_id"], "left_semi").drop("batch_id")
+
+        tables = valid("scores"), valid("unreachable").drop("page_id"), valid("semantic")
+        report = site_report(sites.join(touched, "site_id", "left_semi"), current, *tables)
         _write_batch(report, f"{path}/reports", batch_id)
+        _write_batch(page_details(*tables), f"{path}/details", batch_id)
 
     return _start(captures, on_batch, checkpoint_dir, trigger)
 
 
+def _latest(spark: SparkSession, path: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/{name}")
+    newest = spark.read.parquet(f"{path}/reports").groupBy("site_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, ["site_id", "batch_id"], "left_semi").drop("batch_id")
+
+
 def read_latest_reports(spark: SparkSession, path: str) -> DataFrame:
     """The newest report of every site."""
-    reports = spark.read.parquet(f"{path}/reports")
-    newest = reports.groupBy("site_id").agg(F.max("batch_id").alias("batch_id"))
-    return reports.join(newest, ["site_id", "batch_id"], "left_semi").drop("batch_id")
+    return _latest(spark, path, "reports")
+
+
+def read_latest_details(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of every site as of its newest report."""
+    return _latest(spark, path, "details")

@@ -28,12 +28,12 @@ CASES = [
     ("<body><h1> A <b>b</b>c </h1><div><h2>D</h2></div><h6>\n</h6></body>", {"headings": [("h1", "A bc"), ("h2", "D"), ("h6", "")]}),
     ("<body><nav><h2>gone</h2></nav><h3>stays</h3></body>", {"headings": [("h3", "stays")]}),
     # body text
-    ("<body><p>outside</p><main>inside</main></body>", {"body_text_content": "inside"}),
-    ("<body><p>one</p>\n<p>two</p></body>", {"body_text_content": "one two"}),
+    ("<body><div>lead-in</div><main><section>core <em>text</em></section></main><div>coda</div></body>", {"body_text_content": "core text"}),
+    ("<body><ul><li>1<li>2</ul><table><tr><td>3</table></body>", {"body_text_content": "1 2 3"}),
     ("<p>no <i>body</i> tag</p>", {"body_text_content": "no body tag", "word_count": 3}),
     ("", {"body_text_content": None, "word_count": 0}),
     (None, {"body_text_content": None, "title": None}),
-    ("<main><header>h</header><p>a</p><nav>n</nav><footer>f</footer><script>s()</script><button>b</button></main>", {"body_text_content": "a"}),
+    ("<main><div><footer>f</footer>a<nav>n</nav></div><script>s()</script>b</main>", {"body_text_content": "a b"}),
     ('<body><p class="ad">x</p><div class="big sponsored"><div>y</div> z</div><p class="adverts">kept</p></body>', {"body_text_content": "kept"}),
     ('<body><p class="ad">gone<p>kept<div class="ads">gone</div></body>', {"body_text_content": "kept"}),
     ("<body><nav>open <div>never closed</div></body>", {"body_text_content": ""}),
@@ -58,8 +58,8 @@ CASES = [
     (f"<head>{LD.format(chr(123) + chr(125) + ' trailing')}</head>", {"has_schema": False}),
     ('<head><script type="application/ld+json">{"@type":["A","B"],"x":[{"@type":"C","y":{"@type":"A"}}]}</script></head>', {"schema_types": ["A", "B", "C"]}),
     # sections
-    ("<body><h1>T</h1><p>1</p><p>2</p></body>", {"sections": [("T", "1 2")]}),
-    ("<body><h1>A</h1><p>1</p><h2>B <i>b</i></h2><p>2</p><p>3</p></body>", {"sections": [("A", "1"), ("B b", "2 3")]}),
+    ("<body><h3>T</h3>free<ul><li>1<li>2</ul></body>", {"sections": [("T", "free 1 2")]}),
+    ("<body><h2>A</h2><p>1</p><h4>B <i>b</i></h4>tail<p>2</p></body>", {"sections": [("A", "1"), ("B b", "tail 2")]}),
     ("<body><h1>A</h1><div><h2>B</h2><p>1</p></div><p>2</p><h2>C</h2></body>", {"sections": [("A", "B 1 2"), ("B", "1"), ("C", "")]}),
     ("<body><a><h2>in a link</h2></a><p>out</p></body>", {"sections": [("in a link", "")]}),
     ("<body><h1>A</h1>text<p>1<p>2<h2>B</h2></body>", {"sections": [("A", "text 1 2"), ("B", "")]}),

@@ -15,6 +15,7 @@ from auditloom.operators.cooldown import client_key, cooldown_admit
 from auditloom.plans.audit import audit_pages, audit_sites
 from auditloom.plans.catalog import QUERIES
 from auditloom.session import scratch_folder
+from auditloom.sources.captures import write_reports
 from auditloom.streaming import streams as ST
 
 
@@ -118,8 +119,7 @@ def test_job_state_and_outcome(spark):
     got = {r.job_id: (r.url, r.status, r.error_message) for r in J.job_latest_state(df).collect()}
     assert got == {"j": ("u", "FAILURE", "why"), "k": ("v", "PENDING", None)}
     report = spark.createDataFrame(
-        [("a", 0, "u", 0, []), ("b", 0, "u", 3, []), ("c", 0, "u", 3, [1])],
-        "job_id string, part int, url string, pages_crawled int, pages array<int>",
+        [("a", "u", 0, 0), ("b", "u", 3, 0), ("c", "u", 3, 1)], "job_id string, url string, pages_crawled int, pages_scored int"
     )
     got = {r.job_id: (r.status, r.error_message) for r in J.job_outcome(report).collect()}
     assert got == {"a": ("FAILURE", J.UNREACHED), "b": ("FAILURE", J.BLOCKED), "c": ("SUCCESS", None)}
@@ -140,18 +140,52 @@ def test_audit_from_seed(spark):
     seeds = spark.createDataFrame([(1, "https://s.example/p0"), (2, "https://none.example")], "site_id int, seed_url string")
     audit = audit_sites(captures(spark), seeds, limit=5)
     got = {r.site_id: r for r in audit.report.collect()}
-    assert got[1].pages_crawled == 6 and len(got[1].pages) == 6 and got[1].part == 0
-    assert got[2].pages_crawled == 0 and got[2].overall_score == 0 and got[2].pages == []
+    assert got[1].pages_crawled == 6 and got[1].pages_scored == 6
+    assert got[2].pages_crawled == 0 and got[2].overall_score == 0 and got[2].pages_scored == 0
     assert got[1].crawl_duration_seconds == 5.0
+    assert [r.crawl_pos for r in audit.details.where("site_id = 1").orderBy("crawl_pos").collect()] == list(range(6))
 
 
-def test_report_parts_hold_every_page(spark):
-    pages = captures(spark).withColumns({"site_id": F.lit(1), "crawl_pos": F.col("page_id").cast("int")})
-    sites = spark.createDataFrame([(1, "u")], "site_id int, url string")
-    a = audit_pages(sites, pages)
-    small = R.site_report(sites, pages.drop("html"), a.scores, a.unreachable, a.semantic_pages, pages_per_row=8).orderBy("part").collect()
-    assert [len(r.pages) for r in small] == [8, 8, 8, 6]
-    assert sum(len(r.semantic_pages) for r in small) == 30
+def test_seeds_that_share_a_host_share_its_pages(spark):
+    def run(*seeds):
+        df = spark.createDataFrame([(i, u) for i, u in seeds], "site_id int, seed_url string")
+        audit = audit_sites(captures(spark), df, limit=4)
+        pages = {(r.site_id, r.crawl_pos): (r.url, r.title, r.word_count) for r in audit.parsed.collect()}
+        return pages, {r.site_id: r.asDict() for r in audit.report.collect()}
+
+    pages, reports = run((1, "https://s.example/p0"), (2, "https://s.example/p0"), (3, "https://s.example/p1"))
+    for site, seed in ((1, "https://s.example/p0"), (2, "https://s.example/p0"), (3, "https://s.example/p1")):
+        alone, report = run((site, seed))
+        assert {k: v for k, v in pages.items() if k[0] == site} == alone
+        assert reports[site] == report[site] and report[site]["overall_score"] > 0
+
+
+def test_all_pages_of_a_large_site_count(spark):
+    pages = captures(spark, 100).withColumns(
+        {
+            "site_id": F.lit(1), "crawl_pos": F.col("page_id").cast("int"),
+            "status_code": F.when(F.col("page_id") < 64, 404).otherwise(200),
+        }
+    )
+    a = audit_pages(spark.createDataFrame([(1, "u")], "site_id int, url string"), pages)
+    report = a.report.withColumn("job_id", F.lit("j"))
+    r = report.first()
+    assert (r.pages_crawled, r.pages_scored, r.pages_unreachable) == (100, 36, 64)
+    jobs = J.job_outcome(report)
+    assert jobs.first().status == "SUCCESS"
+    assert J.read_reports(jobs).first().result.pages_crawled == 100
+    details = J.report_pages(jobs, a.details.withColumn("job_id", F.lit("j"))).collect()
+    assert len(details) == 100 and sum(d.page is not None for d in details) == 36
+    assert sum(d.unreachable is not None for d in details) == 64 and sum(d.semantic is not None for d in details) == 100
+
+
+def test_written_reports_read_back(spark):
+    folder = scratch_folder(spark)
+    pages = captures(spark, 3).withColumns({"site_id": F.lit(1), "crawl_pos": F.col("page_id").cast("int")})
+    a = audit_pages(spark.createDataFrame([(1, "u")], "site_id int, url string"), pages)
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
+        write_reports(a.report, a.details, folder, day=day)
+    assert spark.read.json(f"{folder}/sites").count() == 2 and spark.read.json(f"{folder}/pages").count() == 6
 
 
 def test_page_audit_stream_equals_batch(spark):
@@ -162,8 +196,30 @@ def test_page_audit_stream_equals_batch(spark):
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     ST.page_audit_stream(stream, sites, f"{folder}/out", f"{folder}/state").awaitTermination()
     got = ST.read_latest_reports(spark, f"{folder}/out").orderBy("site_id").collect()
-    want = audit_pages(sites, pages).report.orderBy("site_id").collect()
+    audit = audit_pages(sites, pages)
+    want = audit.report.orderBy("site_id").collect()
     assert [r.asDict(True) for r in got] == [r.asDict(True) for r in want]
+    got = ST.read_latest_details(spark, f"{folder}/out").orderBy("site_id", "crawl_pos").collect()
+    want = audit.details.orderBy("site_id", "crawl_pos").collect()
+    assert [r.asDict(True) for r in got] == [r.asDict(True) for r in want]
+
+
+def test_page_captured_again_replaces_the_older_capture(spark):
+    folder = scratch_folder(spark)
+    first = captures(spark, 2)
+    later = first.where("page_id = 0").withColumns(
+        {"html": F.lit("<title>new</title><p>x"), "fetched_at": F.col("fetched_at") + F.expr("interval 1 day")}
+    )
+    place = {"site_id": F.lit(1), "crawl_pos": F.col("page_id").cast("int")}
+    sites = spark.createDataFrame([(1, "u")], "site_id int, url string")
+    for k, rows in enumerate((first, later, first.where("page_id = 1"))):
+        rows.withColumns(place).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.withColumns(place).schema).parquet(f"{folder}/in")
+        ST.page_audit_stream(stream, sites, f"{folder}/out", f"{folder}/state").awaitTermination()
+    now = later.unionByName(first.where("page_id = 1")).withColumns(place)
+    got = ST.read_latest_reports(spark, f"{folder}/out").collect()
+    assert [r.asDict(True) for r in got] == [r.asDict(True) for r in audit_pages(sites, now).report.collect()]
+    assert got[0].pages_crawled == 2 and ST.read_latest_details(spark, f"{folder}/out").count() == 2
 
 
 def test_compacted_job_state(spark):
@@ -190,4 +246,4 @@ def test_query_equals_sql(spark, name):
 def test_every_query_has_a_check():
     from auditloom.plans.checks import CHECKS
 
-    assert set(QUERIES) - set(CHECKS) == {"stream_page_audit"}
+    assert set(QUERIES) == set(CHECKS)
