@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.store import stored
 from auditloom.llm.words import Texts, mix, span_hash, text_blocks
 
+BLOCK = 1 << 19  # bytes of text hashed at a time
 SYMBOLS = 6  # bytes, or terminators, that one number holds
 SPANS = "array<struct<a: int, b: int>>"
 
@@ -219,14 +220,14 @@ def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
 
     def only_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column(0)):
+            for block in text_blocks(batch.column(0), BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors(block, s)[1].view(np.int64))], ["anchor"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in OCCURRENCES.split(", ")]
         for batch in batches:
             _row_key, _text_key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in text_blocks(batch.column(2)):
+            for block in text_blocks(batch.column(2), BLOCK):
                 place, hashes, prefix = anchors(block, s)
                 row, begin, end = contexts(block, place, s)
                 lead = place - begin
@@ -246,7 +247,7 @@ def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
     return stored(found.join(often, "anchor"), "repeat-occurrences")
 
 
-CUT = "context long, anchor long, root long, lead int, n long, origin long, shift int, lo int, hi int, text binary"
+CUT = "context long, anchor long, root long, lead int, n long, origin long, lo int, hi int, text binary"
 
 
 def _signed(x: int) -> int:
@@ -269,37 +270,44 @@ def _cut(docs: DataFrame, wanted: DataFrame, s: RepeatSettings) -> DataFrame:
                 out = []
                 for p in rows[k].as_py():
                     start = origin + p["place"]
-                    out.append((p["context"], p["anchor"], p["anchor"], p["lead"], p["n"], _signed(start), 0, p["lead"], p["lead"] + s.anchor, data[p["place"] : p["place"] + p["size"]]))
+                    out.append((p["context"], p["anchor"], p["anchor"], p["lead"], p["n"], _signed(start), p["lead"], p["lead"] + s.anchor, data[p["place"] : p["place"] + p["size"]]))
                 frame = pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
                 yield pa.RecordBatch.from_pandas(frame, cut_schema, preserve_index=False)
 
-    cut_schema = pa.schema([("context", pa.int64()), ("anchor", pa.int64()), ("root", pa.int64()), ("lead", pa.int32()), ("n", pa.int64()), ("origin", pa.int64()), ("shift", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
+    cut_schema = pa.schema([("context", pa.int64()), ("anchor", pa.int64()), ("root", pa.int64()), ("lead", pa.int32()), ("n", pa.int64()), ("origin", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
     return docs.join(per_row, ["_row_key", "_text_key"]).mapInArrow(cut, CUT)
 
 
 def _longer_anchors(s: RepeatSettings):
     """Strings around an anchor hold more of it on the left or on the right: two longer anchors take its place.
 
-    text is cut to what strings with the longer anchor can cover; shift is where it now starts in the context.
+    text is cut to what strings with the longer anchor can cover, and context is the hash of what is left; source is
+    the context it was cut from, shift where it starts in it.
     """
+    kinds = {"context": pa.int64(), "anchor": pa.int64(), "root": pa.int64(), "lead": pa.int32(), "n": pa.int64(), "origin": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "text": pa.binary(), "source": pa.int64(), "shift": pa.int32()}
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                more = (s.length - (r["hi"] - r["lo"]) + 1) // 2
-                for lo, hi in ((r["lo"] - more, r["hi"]), (r["lo"], r["hi"] + more)):
-                    if lo < 0 or hi > len(r["text"]):
-                        continue
-                    # the first anchor and its place stay part of the key, as they keep equal strings apart
-                    mark = f"{r['root']},{r['lead'] - lo}".encode()
-                    key = hashlib.blake2b(r["text"][lo:hi], digest_size=8, key=mark).digest()
-                    cut = max(0, hi - s.length)
-                    out.append(r | {
-                        "anchor": int.from_bytes(key, "big", signed=True), "lead": r["lead"] - cut, "lo": lo - cut, "hi": hi - cut,
-                        "shift": r["shift"] + cut, "origin": _signed(r["origin"] + cut), "text": r["text"][cut : lo + s.length],
-                    })
-            yield pa.RecordBatch.from_pylist(out, batch.schema)
+            for begin in range(0, len(batch), 1000):
+                out = []
+                for r in batch.slice(begin, 1000).to_pylist():
+                    more = (s.length - (r["hi"] - r["lo"]) + 1) // 2
+                    for lo, hi in ((r["lo"] - more, r["hi"]), (r["lo"], r["hi"] + more)):
+                        cut = max(0, hi - s.length)
+                        text = r["text"][cut : lo + s.length]
+                        if lo < 0 or hi > len(r["text"]) or len(text) < s.length:
+                            continue
+                        # the first anchor and its place stay part of the keys, as they keep equal strings apart
+                        mark = f"{r['root']},{r['lead'] - lo}".encode()
+                        key = hashlib.blake2b(r["text"][lo:hi], digest_size=8, key=mark).digest()
+                        own = hashlib.blake2b(text, digest_size=8, key=mark + f",{hi - lo},{lo - cut}".encode()).digest()
+                        out.append({
+                            "context": int.from_bytes(own, "big", signed=True), "anchor": int.from_bytes(key, "big", signed=True),
+                            "root": r["root"], "lead": r["lead"] - cut, "n": r["n"], "origin": _signed(r["origin"] + cut),
+                            "lo": lo - cut, "hi": hi - cut, "text": text, "source": r["context"], "shift": cut,
+                        })
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
@@ -318,7 +326,7 @@ def _match(parts: DataFrame, s: RepeatSettings) -> DataFrame:
         for own in np.split(np.arange(len(found)), np.flatnonzero(np.diff(owner)) + 1):
             if len(own):
                 k = owner[own[0]]
-                at = found[own] - starts[k] + rows["shift"].iloc[k]
+                at = found[own] - starts[k]
                 out.append((rows["context"].iloc[k], [{"a": a, "b": b} for a, b in merged(at, at + s.length)]))
         return pd.DataFrame(out, columns=["context", "spans"])
 
@@ -341,11 +349,18 @@ def repeated_spans(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> Dat
     verdicts = whole
     if facts["bytes"]:
         parts = _cut(docs, some.where(F.col("n_contexts") <= s.group), s)
+        found, places = None, None
         if facts["most"] > s.group:
-            split, same = _split(_cut(docs, some.where(F.col("n_contexts") > s.group), s), s)
-            parts, verdicts = parts.unionByName(split), verdicts.unionByName(same)
+            split, found, places = _split(_cut(docs, some.where(F.col("n_contexts") > s.group), s), s)
+            parts = parts.unionByName(split)
         n_buckets = -(-facts["bytes"] // s.index_bytes)
-        verdicts = verdicts.unionByName(_match(parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))), s))
+        matched = _match(parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))), s)
+        if places is not None:
+            shifted = F.transform("spans", lambda x: F.struct((x.a + F.col("shift")).alias("a"), (x.b + F.col("shift")).alias("b")))
+            matched = matched.unionByName(found).join(places, "context", "left").select(
+                F.coalesce("top", "context").alias("context"), F.when(F.col("top").isNull(), F.col("spans")).otherwise(shifted).alias("spans")
+            )
+        verdicts = verdicts.unionByName(matched)
     marks = (
         seen.join(verdicts, "context").select("_row_key", "_text_key", "place", F.explode("spans").alias("m"))
         .select("_row_key", "_text_key", F.struct((F.col("place") + F.col("m.a")).alias("a"), (F.col("place") + F.col("m.b")).alias("b")).alias("m"))
@@ -353,25 +368,40 @@ def repeated_spans(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> Dat
     return marks.groupBy("_row_key", "_text_key").agg(F.collect_set("m").alias("spans"))
 
 
-def _split(parts: DataFrame, s: RepeatSettings) -> tuple[DataFrame, DataFrame]:
-    """Anchors with very many contexts: longer anchors split them, until groups are small or the anchor is the string.
+def _split(parts: DataFrame, s: RepeatSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors with very many contexts: longer anchors split them, until all groups are small.
 
-    Returns the contexts in small groups, and (context, spans) where all of a group hold the same string.
+    With each step contexts are cut to what the longer anchor can cover, and those that are alike from then on are
+    one. Inside a passage that many texts share they soon all are; at its ends few strings still share an anchor.
+    Returns the contexts in small groups; (context, spans) of those that are repeated as a whole; and places: top, the
+    context in the corpus that a later context was cut from, and shift, where in it.
     """
-    small, width = parts.where("false"), s.anchor
-    same = None
-    while same is None:
-        width += (s.length - width + 1) // 2
-        parts = stored(parts.mapInArrow(_longer_anchors(s), CUT).dropDuplicates(["context", "shift", "lo", "hi"]), "repeat-split")
-        sizes = parts.groupBy("anchor").agg(F.count("*").alias("members"), F.max("n").alias("often"))
-        if width < s.length:
-            sized = stored(parts.join(sizes.where("members > 1"), "anchor"), "repeat-sized")
-            small = small.unionByName(sized.where(F.col("members") <= s.group).select(*parts.columns))
-            parts = sized.where(F.col("members") > s.group).select(*parts.columns)
-        else:
-            span = F.struct((F.col("shift") + F.col("lo")).alias("a"), (F.col("shift") + F.col("hi")).alias("b"))
-            same = parts.join(sizes.where("members > 1 OR often > 1"), "anchor").select("context", F.array(span).alias("spans"))
-    return small, same
+    parts = stored(parts, "repeat-hot")
+    tops = parts.select(F.col("context").alias("top"), "n")
+    places = parts.select(F.col("context").alias("top"), "context", F.lit(0).alias("shift"))
+    small, whole, all_places = parts.where("false"), [], []
+    while True:
+        cut = stored(parts.mapInArrow(_longer_anchors(s), CUT + ", source long, shift int"), "repeat-cut")
+        moved = cut.select("source", F.col("context").alias("to"), F.col("shift").alias("by"))
+        places = stored(
+            places.join(moved, places["context"] == moved["source"]).select("top", F.col("to").alias("context"), (F.col("shift") + F.col("by")).alias("shift")).distinct(),
+            "repeat-places",
+        )
+        all_places.append(places)
+        uses = places.join(tops, "top").groupBy("context").agg(F.sum("n").alias("n"))
+        one = cut.groupBy("context").agg(*[F.min_by(c, "origin").alias(c) for c in ("anchor", "root", "lead", "lo", "hi", "text")], F.min("origin").alias("origin"))
+        now = stored(one.join(uses, "context"), "repeat-split")
+        sized = now.join(now.groupBy("anchor").agg(F.count("*").alias("members")), "anchor")
+        whole.append(now.where("n > 1").select("context", F.array(F.struct(F.lit(0).alias("a"), F.length("text").alias("b"))).alias("spans")))
+        columns = [c.split()[0] for c in CUT.split(", ")]
+        small = small.unionByName(sized.where((F.col("members") > 1) & (F.col("members") <= s.group)).select(*columns))
+        parts = stored(sized.where(F.col("members") > s.group).select(*columns), "repeat-hot")
+        if parts.isEmpty():
+            break
+    found, where = whole[0], all_places[0]
+    for more, also in zip(whole[1:], all_places[1:], strict=True):
+        found, where = found.unionByName(more), where.unionByName(also)
+    return small, found, where
 
 
 def with_repeats(docs: DataFrame, column: str = "repeats", s: RepeatSettings = RepeatSettings()) -> DataFrame:
