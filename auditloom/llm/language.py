@@ -24,7 +24,7 @@ MAX_PIECE = 16
 LETTERS = re.compile(r"[^\W\d_]{1,16}")
 SCALE = 1024.0  # per byte, keeps products of probabilities within a double
 SMOOTHING = 0.01
-MEMO_WORDS = 300_000
+MEMO_WORDS = 60_000
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -99,12 +99,12 @@ class Lattice:
 
 
 def lattices(words: list[bytes], keys: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Groups of at most 20,000 words of one length: their places in the list, and their lattice."""
+    """Groups of at most 5,000 words of one length: their places in the list, and their lattice."""
     sizes = np.array([len(w) for w in words])
     for n in np.unique(sizes):
         same = np.flatnonzero(sizes == n)
-        for at in range(0, len(same), 20_000):
-            part = same[at : at + 20_000]
+        for at in range(0, len(same), 5_000):
+            part = same[at : at + 5_000]
             yield part, Lattice([words[i] for i in part], keys, order)
 
 
@@ -153,10 +153,10 @@ def language_column(model: Broadcast):
         for batch in batches:
             picked, sure = [], []
             # few texts at a time, however long a batch's texts are
-            for at in range(0, len(batch), 500):
+            for at in range(0, len(batch), 200):
                 if len(numbers) > MEMO_WORDS:
                     numbers, scores = _Numbers(), scores[:0]
-                ids = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int64) for t in batch[at : at + 500].to_pylist()]
+                ids = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int64) for t in batch[at : at + 200].to_pylist()]
                 if len(numbers) > len(scores) and m.languages:
                     fresh = [marked(w) for w in list(numbers)[len(scores) :]]
                     scores = np.concatenate([scores, m.word_scores(fresh)])

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import decontaminate, extract, language, licenses, mixing, near_dups, ngram_lm, repetition, substrings, token_counts
+from auditloom.llm.store import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = bound_batches(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -17,6 +17,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BLOCK = 1 << 19  # bytes of text that are handled at a time
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -101,7 +102,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(out[at]), at
 
 
-def text_blocks(column: pa.Array, limit: int = 2 << 20) -> Iterator[Texts]:
+def text_blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Texts]:
     """The column's rows, in order, in blocks of at most limit bytes or one row. A null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
