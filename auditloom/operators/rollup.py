@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
 from auditloom.operators.scoring import CATEGORIES
-from auditloom.schemas import MESSAGE_ORDER
+from auditloom.schemas import MESSAGE_ORDER, MESSAGES
 
 TOP = 5
 
@@ -69,6 +69,16 @@ def top_lists(tops: DataFrame, prefix: str = "") -> DataFrame:
     return tops.groupBy("site_id").agg(pick("finding"), pick("recommendation"))
 
 
+def message_text(code: Column) -> Column:
+    """The wording of a message code, with the number or heading that follows a code ending in ':'. Codes without a
+    wording stay as they are."""
+    known = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    stem = F.regexp_extract(code, "^[^:]*:?", 0)
+    rest = F.substring(code, F.length(stem) + 1, F.length(code))
+    wording = F.element_at(known, stem)
+    return F.when(wording.isNull(), code).when(rest == "", wording).otherwise(F.concat(wording, F.lit(": "), rest))
+
+
 def crawl_durations(captures: DataFrame) -> DataFrame:
     """Seconds between the first and the last capture of a site."""
     return captures.groupBy("site_id").agg(_duration("crawl_duration_seconds"))

@@ -51,8 +51,16 @@ def embed_with_bag(chunks: DataFrame) -> DataFrame:
 
 
 def embed_with_table(chunks: DataFrame, vectors: DataFrame, on: list[str]) -> DataFrame:
-    """Attach precomputed vectors (`heading_vector`, `content_vector`); an equi-join on the chunk key."""
-    return chunks.join(vectors, on)
+    """Attach precomputed vectors (`heading_vector`, `content_vector`); an equi-join on the chunk key.
+
+    A chunk without a vector keeps NULL vectors, so that it can be reported (`chunks_without_vector`); averages leave
+    its score out.
+    """
+    return chunks.join(vectors, on, "left")
+
+
+def chunks_without_vector(chunks: DataFrame) -> DataFrame:
+    return chunks.where("heading_vector IS NULL OR content_vector IS NULL")
 
 
 def embed_with_model(chunks: DataFrame, make_predict: Callable, batch_size: int = 32) -> DataFrame:

@@ -506,6 +506,12 @@ def site_report(spark, d):
     )
 
 
+@query
+def report_messages(spark, d):
+    tops = R.top_messages(R.site_messages(_scores(spark, d)))
+    return tops.select("site_id", "kind", "rank", R.message_text(F.col("message")).alias("text"), "n")
+
+
 @query
 def crawl_duration(spark, d):
     return R.crawl_durations(_captures(spark, d))

@@ -6,7 +6,7 @@ values, these use json_tree. They are checks for small inputs, not meant to scal
 
 from auditloom.operators.jobs import BLOCKED, UNREACHED
 from auditloom.plans import fixtures as X
-from auditloom.schemas import ROBOTS_POINTS, SCHEMA_TYPE_POINTS, UNREACHABLE_REASONS
+from auditloom.schemas import MESSAGES, ROBOTS_POINTS, SCHEMA_TYPE_POINTS, UNREACHABLE_REASONS
 
 CHECKS: dict[str, str] = {}
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -352,6 +352,8 @@ check("site_score", with_ctes(*SITE_ALL) + f"select sites.site_id, coalesce(s.m,
 check("site_messages", with_ctes(*SITE_ALL) + "select site_id, kind, crawl_pos, category_pos, pos, message from msg")
 for _kind in ("finding", "recommendation"):
     check(f"top_{_kind}s", with_ctes(*SITE_ALL) + f"select site_id, \"rank\", message, n from top where kind='{_kind}'")
+_WORDING = "wording(code, words) as (values " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in MESSAGES.items()) + ")"
+check("report_messages", with_ctes(*SITE_ALL, _WORDING) + """select site_id, kind, "rank", case when words is null then message when ends_with(code, ':') then concat(words, ': ', message[length(code)+1:]) else words end as "text", n from top left join wording on (case when strpos(message, ':')>0 then message[:strpos(message, ':')] else message end)=code""")
 check("crawl_duration", with_ctes(CAPTURES) + "select site_id, CAST(max(fetched)-min(fetched) AS DOUBLE) crawl_duration_seconds from pages_in group by 1")
 _LONG = "long as (" + " union all ".join(f"select site_id, '{c}' category, '{r}' metric, s_{r} points from paged" for c, rs in GROUPS.items() for r in rs) + ")"
 check("category_rollup", with_ctes(*SITE_ALL, _LONG) + "select site_id, category, metric, count(*) n, CAST(sum(points) AS DOUBLE)/count(*) mean_points from long group by rollup(site_id, category, metric) having site_id is not null")
