@@ -360,11 +360,25 @@ def repeated_spans(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> Dat
                 F.coalesce("top", "context").alias("context"), F.when(F.col("top").isNull(), F.col("spans")).otherwise(shifted).alias("spans")
             )
         verdicts = verdicts.unionByName(matched)
-    marks = (
-        seen.join(verdicts, "context").select("_row_key", "_text_key", "place", F.explode("spans").alias("m"))
-        .select("_row_key", "_text_key", F.struct((F.col("place") + F.col("m.a")).alias("a"), (F.col("place") + F.col("m.b")).alias("b")).alias("m"))
-    )
-    return marks.groupBy("_row_key", "_text_key").agg(F.collect_set("m").alias("spans"))
+    # several cuts of a context may each have found something: one row per context, spans joined
+    united = verdicts.groupBy("context").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumn("spans", _united()(F.col("spans")))
+    here = F.transform("spans", lambda x: F.struct((x.a + F.col("place")).alias("a"), (x.b + F.col("place")).alias("b")))
+    marks = seen.join(united, "context").select("_row_key", "_text_key", here.alias("spans"))
+    return marks.groupBy("_row_key", "_text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _united():
+    """A column function: the union of a list of spans."""
+
+    @F.arrow_udf(SPANS)
+    def unite(spans: pa.Array) -> pa.Array:
+        out = []
+        for own in spans.to_pylist():
+            runs = merged(np.array([x["a"] for x in own]), np.array([x["b"] for x in own])) if len(own) > 1 else [(x["a"], x["b"]) for x in own]
+            out.append([{"a": a, "b": b} for a, b in runs])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+
+    return unite
 
 
 def _split(parts: DataFrame, s: RepeatSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
