@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word n-grams seed passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: word n-grams seed passages, Smith-Waterman alignment scores them."""
 
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,31 +19,27 @@ HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """seed_words: length of a seed. An item's seeds are its n-grams that occur in at most rare_share of all documents,
-    and its `seeds` rarest ones however often these occur, so that an item that leaked everywhere keeps seeds.
+    """seed_words: length of a seed. Every n-gram of an item is a seed, however many documents hold it.
     score: least alignment score per word of the item; a match counts 1, a wrong, missing or further word -1.
     block_chars: characters of benchmark items that are searched for at a time."""
 
     seed_words: int = 3
-    rare_share: float = 1e-4
-    seeds: int = 16
     score: float = 0.4
     block_chars: int = 4_000_000
 
 
 @dataclass
 class Items:
-    """Items of one block, and their n-grams: sorted hashes, and for each the item and the place in it."""
+    """Items of one block, their distinct words in order, and their n-grams: sorted hashes, and for each the item and
+    the place in it."""
 
     ids: list[int]
     words: list[np.ndarray]
+    known: list[np.ndarray]
     grams: np.ndarray
     owner: np.ndarray
     place: np.ndarray
 
-    def only(self, keep: np.ndarray) -> "Items":
-        return Items(self.ids, self.words, self.grams[keep], self.owner[keep], self.place[keep])
-
 
 def prepare(rows: list[tuple[int, str]], seed_words: int) -> Items:
     words: list[np.ndarray] = []
@@ -55,7 +51,7 @@ def prepare(rows: list[tuple[int, str]], seed_words: int) -> Items:
     grams, at = shingles(np.concatenate([*words, np.zeros(0, np.uint64)]), owner, seed_words)
     order = np.argsort(grams, kind="stable")
     owner = owner[at[order]]
-    return Items([i for i, _ in rows], words, grams[order], owner, at[order] - starts[owner])
+    return Items([i for i, _ in rows], words, [np.unique(w) for w in words], grams[order], owner, at[order] - starts[owner])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -84,6 +80,17 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def most_score(known: np.ndarray, part: np.ndarray) -> int:
+    """No local alignment scores more: each text word in it brings 1 at most, and costs 1 if the item lacks it.
+
+    known: the item's distinct words, sorted.
+    """
+    at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+    sums = np.zeros(len(part) + 1, np.int64)
+    np.cumsum(np.where(known[at] == part, 1, -1), out=sums[1:])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
 def windows(places: np.ndarray, offsets: np.ndarray, length: int, n_words: int) -> Iterator[tuple[int, int]]:
     """Stretches of a text that may hold an item, given the places of seeds in the text and in the item."""
     low = np.maximum(0, places - offsets - length)
@@ -104,16 +111,22 @@ def leaks(words: np.ndarray, rows: np.ndarray, items: Items, settings: LeakSetti
     low = low[some]
     times = np.searchsorted(items.grams, grams[some], "right") - low
     entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    hits = pd.DataFrame({"row": rows[at[np.repeat(some, times)]], "item": items.owner[entry], "at": at[np.repeat(some, times)], "offset": items.place[entry]})
+    place, offset, item_of = at[np.repeat(some, times)], items.place[entry], items.owner[entry]
+    row_of = rows[place]
+    order = np.lexsort((item_of, row_of))
+    place, offset, item_of, row_of = place[order], offset[order], item_of[order], row_of[order]
+    cut = np.flatnonzero(np.concatenate([[True], (row_of[1:] != row_of[:-1]) | (item_of[1:] != item_of[:-1])]))
     first = np.searchsorted(rows, np.arange(rows[-1] + 2))
     out = []
-    for (row, item), group in hits.groupby(["row", "item"], sort=True):
-        text, wanted = words[first[row] : first[row + 1]], items.words[item]
+    for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+        row, item = row_of[low], item_of[low]
+        text, wanted, known = words[first[row] : first[row + 1]], items.words[item], items.known[item]
         best = (0, 0, 0)
-        for begin, end in windows(group["at"].to_numpy() - first[row], group["offset"].to_numpy(), len(wanted), len(text)):
+        for begin, end in windows(place[low:high] - first[row], offset[low:high], len(wanted), len(text)):
             part = text[begin:end]
-            # a score is at most the number of item words that occur here
-            if np.isin(wanted, part).sum() < max(settings.score * len(wanted), best[0] + 1):
+            least = max(settings.score * len(wanted), best[0] + 1)
+            # a score is at most the number of item words that occur here, too
+            if most_score(known, part) < least or np.isin(wanted, part).sum() < least:
                 continue
             got = align(wanted, part)
             if got[0] > best[0]:
@@ -134,19 +147,9 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[i
 
 
 def seeded_blocks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings) -> Iterator[Broadcast]:
-    """The benchmark's items in blocks, each with the seeds that its documents' n-gram counts leave."""
-    texts = lowered(docs)
-    n_docs = None
+    """The benchmark's items in blocks, each with all its n-grams as seeds."""
     for rows in item_blocks(benchmark, settings.block_chars):
-        n_docs = docs.count() if n_docs is None else n_docs
-        items = prepare(rows, settings.seed_words)
-        counts = _document_counts(texts, items, settings.seed_words)
-        rare = counts <= settings.rare_share * n_docs
-        by_item = np.lexsort((items.place, counts, items.owner))
-        rank = np.empty(len(by_item), np.int64)
-        owners = items.owner[by_item]
-        rank[by_item] = np.arange(len(by_item)) - np.searchsorted(owners, owners)
-        yield docs.sparkSession.sparkContext.broadcast(items.only(rare | (rank < settings.seeds)))
+        yield docs.sparkSession.sparkContext.broadcast(prepare(rows, settings.seed_words))
 
 
 def lowered(docs: DataFrame) -> DataFrame:
@@ -156,8 +159,9 @@ def lowered(docs: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings()) -> DataFrame:
     """Documents that hold a benchmark item or an edited copy of it: doc_id, item_id, score, first_word, end_word.
 
-    The benchmark is a stated query set: it is searched for in blocks, and each block passes over all documents twice:
-    to count in how many of them its n-grams occur, then to align around its seeds. Documents are never shuffled.
+    The benchmark is a stated query set: it is searched for in blocks, and each block passes over all documents once. A
+    document that shares any n-gram with an item is aligned around it, unless a bound shows that the score stays below
+    the limit; the bound never drops a pair that reaches it. Documents are never shuffled.
     score is the alignment score per word of the item; a row per input row and item at or above the limit. Words are
     runs of letters and digits in lower case. Null texts, and items of fewer words than a seed, match nothing.
     """
@@ -192,30 +196,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings
     return docs
 
 
-def _document_counts(texts: DataFrame, items: Items, seed_words: int) -> np.ndarray:
-    """In how many documents each of the block's n-grams occurs."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.unique(items.grams))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for block in text_blocks(batch.column(0)):
-                words, rows = word_hashes(block)
-                grams, at = shingles(words, rows, seed_words)
-                place = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-                here = np.flatnonzero(known[place] == grams) if len(known) else place[:0]
-                pairs = np.unique(rows[at[here]] * np.int64(len(known) + 1) + place[here])
-                total += np.bincount(pairs % (len(known) + 1), minlength=len(known))[: len(known)]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "docs"])
-
-    out = np.zeros(len(np.unique(items.grams)), np.int64)
-    for r in texts.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toLocalIterator():
-        out[r["gram"]] = r["docs"]
-    return out[np.searchsorted(np.unique(items.grams), items.grams)]
-
-
 def _aligner(shared, settings: LeakSettings):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value

@@ -172,6 +172,13 @@ def test_local_alignment():
         assert score == local_score(item, text[begin:end])
 
 
+def test_no_local_alignment_beats_its_bound():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        item, text = (rng.integers(0, 12, rng.integers(1, 25)).astype(np.uint64) for _ in range(2))
+        assert decontaminate.align(item, text)[0] <= decontaminate.most_score(np.unique(item), text) <= len(text)
+
+
 def test_band_count():
     for similarity in (0.4, 0.64, 0.9):
         n = licenses.bands_needed(similarity, 1, 1e-4)

@@ -180,6 +180,18 @@ def test_leaks(spark, edge, no_rows):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(docs)
 
 
+def test_leaks_of_one_edited_copy_in_many_documents(spark):
+    """Its left n-grams are frequent, and the edits leave more than 16 of the item's n-grams without any document."""
+    item = [f"i{k}" for k in range(40)]
+    edited = " ".join("other" + w if k in (3, 9, 15, 21, 27, 33) else w for k, w in enumerate(item))
+    docs = [(k, f"{edited} d{k}") for k in range(50)] + [(100 + k, f"{' '.join(item[22:])} d{k}") for k in range(50)]
+    df = spark.createDataFrame([*docs, (200, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {**{k: 28 / 40 for k in range(50)}, **{100 + k: 18 / 40 for k in range(50)}}
+    assert rows(decontaminate.without_leaks(df, bench).select("doc_id")) == [(200,)]
+
+
 # ---- licenses ----
 
 
