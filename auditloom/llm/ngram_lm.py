@@ -1,8 +1,7 @@
-"""Language-model scores: smoothed n-grams as an automaton with failure arcs, walked once over each text."""
+"""Language-model scores: smoothed n-grams with failure arcs, counted in tables that each chunk of texts asks by a join."""
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -11,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.store import stored
-from auditloom.llm.words import Texts, span_hash, text_blocks
+from auditloom.llm.words import BASE, Texts, mix, span_hash, text_blocks
 
-END = np.uint64(0)  # stands for the end token; hashes of words are never this in practice
+# stand for the end and the begin of a text; hashes of words are never these in practice
+END, BEGIN = np.uint64(0), np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 FLUSH = 4_000_000
@@ -22,43 +22,49 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 @dataclass(frozen=True)
 class LmSettings:
-    """order: longest n-gram, 2 or 3. share: an n-gram becomes an arc if it makes up this share of all training
-    tokens, and occurs twice at least. So there are at most 1 / share arcs of each length, however large the corpus.
-    discount: taken off each count of an arc, and given to the failure arc. chunk_bytes: text scored at a time."""
+    """order: longest n-gram, 2 or 3. least: an n-gram becomes an arc from this many uses on, whatever the corpus's
+    size. share: above 0, an arc must make up this share of all training tokens, too. discount: taken off each count of
+    an arc, and given to the failure arc. chunk_bytes: text scored at a time."""
 
     order: int = 3
-    share: float = 2e-6
+    least: int = 2
+    share: float = 0.0
     discount: float = 0.75
     chunk_bytes: int = 8 << 20
 
 
-@dataclass
-class NgramModel:
-    """tokens, distinct: N and V of the training tokens. hashes, counts: words frequent enough for arcs, by hash.
-    arcs: for each length from 2 on, n-grams as numbers in base `base`, and their counts."""
+@dataclass(frozen=True)
+class Corpus:
+    """Tokens, distinct tokens and texts of the training rows. Each text has one end token."""
 
     tokens: int
     distinct: int
     texts: int
-    hashes: np.ndarray
-    counts: np.ndarray
-    end_count: int
-    arcs: list[tuple[np.ndarray, np.ndarray]]
-    discount: float
-
-    @cached_property
-    def machine(self) -> "Automaton":
-        """Built once in each worker that asks for it."""
-        return Automaton(self)
-
-    @property
-    def base(self) -> int:
-        """Words have numbers 0, 1 ...; then come begin, end and any other word."""
-        return len(self.hashes) + 3
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the add-one-half estimate for words with these counts."""
-        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+        """The add-one-half estimate for words with these counts."""
+        return (counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+
+
+@dataclass
+class Facts:
+    """Sorted keys of n-grams with their values; 0 for others."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(rows: pd.DataFrame, column: str) -> "Facts":
+        some = rows[rows[column].notna()]
+        keys = some["key"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        return Facts(keys[by], some[column].to_numpy(float)[by])
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0.0)
 
 
 def token_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -68,23 +74,30 @@ def token_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(low.prefix(), begin, end), rows
 
 
-def _numbered(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each hash among the known ones, len(known) + 2 for others."""
-    if not len(known):
-        return np.full(len(hashes), 2, np.int64)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, len(known) + 2).astype(np.int64)
-
-
-def framed(texts: Texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all tokens with begin before and end after each text, and their rows."""
+def framed(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens with begin before and end after each text, and their rows."""
     hashes, rows = token_hashes(texts)
     all_rows = np.arange(texts.rows)
     stops = np.searchsorted(rows, all_rows, "right")
-    numbers = np.insert(_numbered(hashes, known), stops, len(known) + 1)
+    hashes = np.insert(hashes, stops, END)
     owners = np.insert(rows, stops, all_rows)
     starts = np.searchsorted(owners, all_rows)
-    return np.insert(numbers, starts, len(known)), np.insert(owners, starts, all_rows)
+    return np.insert(hashes, starts, BEGIN), np.insert(owners, starts, all_rows)
+
+
+def gram_keys(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to order: the key of the n-gram that ends at each token, and whether its text has one.
+
+    The key of a longer n-gram is made of its history's key and its last word.
+    """
+    out = [(hashes, np.ones(len(hashes), bool))]
+    for _ in range(2, order + 1):
+        before, there = out[-1]
+        keys, whole = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
+        keys[1:] = mix(before[:-1] * BASE + mix(hashes[1:]))
+        whole[1:] = there[:-1] & (rows[1:] == rows[:-1])
+        out.append((keys, whole))
+    return out
 
 
 def _summed(batches: Iterator[pa.RecordBatch], per_block) -> Iterator[pa.RecordBatch]:
@@ -117,198 +130,108 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return _counted(texts, lambda block: token_hashes(block)[0].view(np.int64))
 
 
-def train(texts: DataFrame, counts: DataFrame, settings: LmSettings) -> NgramModel:
-    """The automaton's n-grams. counts is word_counts(texts).
+def gram_counts(texts: DataFrame, order: int) -> DataFrame:
+    """key, history (the key of the n-gram without its last word), n: uses of each n-gram of 2 to order tokens."""
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, history = np.concatenate([np.zeros((2, 0), np.uint64), *held], axis=1)
+        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        columns = [keys.view(np.int64), history[first].view(np.int64), counts.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "history", "n"])
 
-    Each length takes one pass over all texts: only n-grams whose two shorter parts are arcs can be frequent enough,
-    so only those are counted. At most 1 / share n-grams of a length reach the driver and each task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for block in text_blocks(batch.column(0)):
+                grams = gram_keys(*framed(block), order)
+                for (shorter, _), (keys, whole) in zip(grams[:-1], grams[1:], strict=True):
+                    at = np.flatnonzero(whole)
+                    held.append(np.stack([keys[at], shorter[at - 1]]))
+                    size += len(at)
+                if size > FLUSH:
+                    yield summed(held)
+                    held, size = [], 0
+        yield summed(held)
+
+    counted = texts.select("text").mapInArrow(run, "key long, history long, n long")
+    return counted.groupBy("key").agg(F.first("history").alias("history"), F.sum("n").alias("n"))
+
+
+def score_block(texts: Texts, corpus: Corpus, uses: Facts, seen: Facts, settings: LmSettings) -> dict[str, np.ndarray]:
+    """Scores of some texts. uses: counts of their words, and of their n-grams with arcs; seen: for histories, the sum
+    of the discounted counts of their arcs.
+
+    A token takes the arc of the longest history that has one for it; each history that has arcs, but none for it,
+    costs its failure arc. An arc's probability holds the failure arc's share of the shorter history, too.
     """
-    if settings.order not in (2, 3):
-        raise ValueError("order is 2 or 3")
-    spark = texts.sparkSession
-    n_texts = texts.count()
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens = (sums["n"] or 0) + n_texts
-    least = max(2, settings.share * tokens)
-    frequent = counts.where(F.col("n") >= least).toPandas()
-    hashes = frequent["key"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(hashes)
-    model = NgramModel(
-        tokens, sums["v"] + (n_texts > 0), n_texts, hashes[by], frequent["n"].to_numpy(np.int64)[by], n_texts, [], settings.discount
-    )
-    base, other = model.base, model.base - 1
-    known = spark.sparkContext.broadcast(model.hashes)
-    shorter = None
-    for n in range(2, settings.order + 1):
-        kept = spark.sparkContext.broadcast(shorter)
-
-        def grams(block: Texts, n=n, kept=kept) -> np.ndarray:
-            numbers, rows = framed(block, known.value)
-            m = len(numbers) - n + 1
-            if m <= 0:
-                return np.zeros(0, np.int64)
-            whole = rows[:m] == rows[n - 1 :]
-            code = np.zeros(m, np.int64)
-            for j in range(n):
-                part = numbers[j : j + m]
-                whole &= part != other
-                code = code * base + part
-            code = code[whole]
-            if kept.value is not None:
-                known_parts = kept.value
-                code = code[np.isin(code // base, known_parts) & np.isin(code % base ** (n - 1), known_parts)]
-            return code
-
-        found = _counted(texts, grams).where(F.col("n") >= least).toPandas()
-        order = np.argsort(found["key"].to_numpy(np.int64))
-        model.arcs.append((found["key"].to_numpy(np.int64)[order], found["n"].to_numpy(np.int64)[order]))
-        shorter = model.arcs[-1][0]
-    return model
-
-
-class Automaton:
-    """States are histories; 0 is the empty one. arcs: (state, word) to (next state, log10 probability). A word without
-    an arc follows the state's failure arc, at its cost, to the next shorter history, at last to 0."""
-
-    def __init__(self, model: NgramModel):
-        base, d = model.base, model.discount
-        self.base = base
-        history_counts = np.concatenate([model.counts, [model.texts, 0, 0]]).astype(float)
-        unigram = 10 ** model.unigram(np.concatenate([model.counts, [0, model.end_count, 0]]).astype(float))
-        self.state_of: dict[tuple[int, int], int] = {}  # (length, history) to state
-        self.fail, self.fail_cost = [0], [0.0]
-        prob: dict[tuple[int, int], float] = {}
-        links: list[tuple[int, int, int, float]] = []
-        for n, (codes, counts) in enumerate(model.arcs, 2):
-            history, word = codes // base, codes % base
-            groups, first = np.unique(history, return_index=True)
-            if n == 2:
-                totals = history_counts[groups]
-            else:
-                before, before_counts = model.arcs[n - 3]
-                totals = before_counts[np.searchsorted(before, groups)].astype(float)
-            owner = np.searchsorted(groups, history)
-            seen = (counts - d) / totals[owner]
-            left = 1 - np.bincount(owner, seen, len(groups))  # the first of a group's n-grams start at `first`
-            del first
-            lower = unigram[word] if n == 2 else np.array([prob[n - 1, int(c)] for c in codes % base ** (n - 1)])
-            p = seen + left[owner] * lower
-            for g, rest in zip(groups.tolist(), left.tolist(), strict=True):
-                self.state_of[n - 1, g] = len(self.fail)
-                self.fail.append(self._longest(n - 2, g))
-                self.fail_cost.append(float(np.log10(max(rest, 1e-300))))
-            for code, q in zip(codes.tolist(), p.tolist(), strict=True):
-                prob[n, code] = q
-                links.append((n, code // base, code % base, q))
-        self.arcs: dict[int, tuple[int, float]] = {}
-        longest = len(model.arcs)
-        for n, history, word, q in links:
-            state = self.state_of[n - 1, history]
-            self.arcs[state * base + word] = (self._longest(min(n, longest), history * base + word), float(np.log10(q)))
-        self.begin = self._longest(1, base - 3)
-
-    def _longest(self, most: int, history: int) -> int:
-        """State of the longest end of a history, of at most so many words."""
-        for n in range(most, 0, -1):
-            if (state := self.state_of.get((n, history % self.base**n))) is not None:
-                return state
-        return 0
-
-    @cached_property
-    def after_word(self) -> np.ndarray:
-        """State after a word that the empty history read."""
-        out = np.zeros(self.base, np.int64)
-        for (n, history), state in self.state_of.items():
-            if n == 1:
-                out[history] = state
-        return out
-
-    def walk(self, words: list[int], unigram: list[float], after: list[int]) -> float:
-        """log10 probability of a text, from left to right; unigram and after tell what the empty history does."""
-        arcs, fail, cost, base = self.arcs, self.fail, self.fail_cost, self.base
-        state, total = self.begin, 0.0
-        for word, alone, then in zip(words, unigram, after, strict=True):
-            while state:
-                arc = arcs.get(state * base + word)
-                if arc is not None:
-                    state, weight = arc
-                    total += weight
-                    break
-                total += cost[state]
-                state = fail[state]
-            else:
-                total += alone
-                state = then
-        return total
-
-
-def score_block(texts: Texts, model: NgramModel, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Scores of some texts; keys and counts are the sorted hashes and uses of their words that have no number."""
-    hashes, rows = token_hashes(texts)
-    numbers = _numbered(hashes, model.hashes)
-    uses = np.zeros(len(hashes), np.int64)
-    common = numbers < len(model.hashes)
-    uses[common] = model.counts[numbers[common]]
-    if len(keys):
-        rare = np.flatnonzero(~common)
-        at = np.minimum(np.searchsorted(keys, hashes[rare]), len(keys) - 1)
-        uses[rare] = np.where(keys[at] == hashes[rare], counts[at], 0)
-    alone = model.unigram(uses)
-    end = float(model.unigram(np.array([model.end_count]))[0])
-    machine = model.machine
-    after = machine.after_word[numbers]
-    edges = np.searchsorted(rows, np.arange(texts.rows + 1))
-    numbers, single, after = numbers.tolist(), alone.tolist(), after.tolist()
-    score = [
-        machine.walk(numbers[a:b] + [model.base - 2], single[a:b] + [end], after[a:b] + [0])
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-    ]
+    hashes, rows = framed(texts)
+    grams = gram_keys(hashes, rows, settings.order)
+    first = np.searchsorted(rows, np.arange(texts.rows))
+    token = np.ones(len(hashes), bool)
+    token[first] = False
+    counts = [uses.look(keys) for keys, _ in grams]
+    counts[0][(hashes == END) | ~token] = corpus.texts
+    p = corpus.unigram(counts[0])
+    base = np.log10(p)
+    for n in range(1, settings.order):
+        at = np.flatnonzero(grams[n][1])
+        taken = seen.look(grams[n - 1][0][at - 1])
+        at, taken = at[taken > 0], taken[taken > 0]
+        total = counts[n - 1][at - 1]
+        p[at] = np.maximum(counts[n][at] - settings.discount, 0) / total + np.maximum(1 - taken / total, 1e-300) * p[at]
     return {
-        "n_tokens": np.diff(edges) + 1,
-        "n_known": np.bincount(rows[uses > 0], minlength=texts.rows) + (model.end_count > 0),
-        "base_score": np.bincount(rows, alone, texts.rows) + end,
-        "score": np.array(score, float),
+        "n_tokens": np.bincount(rows[token], minlength=texts.rows),
+        "n_known": np.bincount(rows[token & (counts[0] > 0)], minlength=texts.rows),
+        "base_score": np.bincount(rows[token], base[token], texts.rows),
+        "score": np.bincount(rows[token], np.log10(p[token]), texts.rows),
     }
 
 
 def score_texts(docs: DataFrame, held_out, settings: LmSettings = LmSettings()) -> DataFrame:
     """Scores of all whole texts under a model learned from the rows where held_out (a boolean column) is false.
 
-    Words are counted over all training rows. An n-gram that makes up a given share of the tokens becomes an arc of the
-    automaton, which is bounded by that share and goes to every task. Counts of all other words are never gathered:
-    texts are dealt into chunks of a few megabytes, each chunk asks once for the words it holds, and gets their counts
-    by a join.
+    Words and n-grams are counted over all training rows, in tables; what they hold grows with the corpus, and none of
+    it is gathered. Texts are dealt into chunks of a few megabytes, each chunk asks once for the words, n-grams and
+    histories it holds, and gets their counts by a join.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per input row. A null text is
     empty: one end token. Without training rows every token
     has probability 1.
     """
-    spark = docs.sparkSession
+    if settings.order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     training = docs.where(~F.col("held_out")).select("text")
     counts = stored(word_counts(training), "lm-words")
-    model = spark.sparkContext.broadcast(train(training, counts, settings))
+    n_texts = training.count()
+    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    corpus = Corpus((sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0), n_texts)
+    least = max(settings.least, settings.share * corpus.tokens)
+    arcs = stored(gram_counts(training, settings.order).where(F.col("n") >= least), "lm-arcs")
+    seen = arcs.groupBy("history").agg(F.sum(F.col("n") - F.lit(settings.discount)).alias("seen"))
+    none = F.lit(None)
+    facts = (
+        counts.select("key", "n", none.cast("double").alias("seen"))
+        .unionByName(arcs.select("key", "n", none.cast("double").alias("seen")))
+        .unionByName(seen.select(F.col("history").alias("key"), none.cast("long").alias("n"), "seen"))
+    )
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_chunks = max(1, -(-size // settings.chunk_bytes))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("long"))
 
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        known, out = model.value.hashes, []
+        out = [np.zeros(0, np.uint64)]
         for block in text_blocks(pa.array(rows["text"], pa.string())):
-            hashes = np.unique(token_hashes(block)[0])
-            out.append(hashes[_numbered(hashes, known) > len(known)])
+            out.append(np.unique(np.concatenate([keys[whole] for keys, whole in gram_keys(*framed(block), settings.order)])))
         return pd.DataFrame({"chunk": key[0], "key": np.unique(np.concatenate(out)).view(np.int64)})
 
     wanted = dealt.select("chunk", "text").groupBy("chunk").applyInPandas(ask, "chunk long, key long")
-    answers = wanted.join(counts, "key").select("chunk", "key", "n")
+    answers = wanted.join(facts, "key").select("chunk", "key", "n", "seen")
 
-    def score(key: tuple, rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        m = model.value
-        keys = words["key"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(keys)
-        keys, uses = keys[by], words["n"].to_numpy(np.int64)[by]
-        parts = [score_block(t, m, keys, uses) for t in text_blocks(pa.array(rows["text"], pa.string()))]
+    def score(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        uses, seen = Facts.of(known, "n"), Facts.of(known, "seen")
+        parts = [score_block(t, corpus, uses, seen, settings) for t in text_blocks(pa.array(rows["text"], pa.string()))]
         out = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else {}
-        return rows[["doc_id", "held_out"]].reset_index(drop=True).assign(train_tokens=m.tokens, **out)[[c.split()[0] for c in SCORES.split(", ")]]
+        return rows[["doc_id", "held_out"]].reset_index(drop=True).assign(train_tokens=corpus.tokens, **out)[[c.split()[0] for c in SCORES.split(", ")]]
 
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, SCORES)

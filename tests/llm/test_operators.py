@@ -314,6 +314,13 @@ def test_lm_scores(spark, share):
     assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-9)
 
 
+def test_lm_arcs_do_not_thin_out_with_size(spark):
+    docs = [(k, "x " * 2_500_000 if k == 0 else "rare pair") for k in [k for k in range(20) if not held(k, 5, 1)][:4]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_lm.score_texts(df, language.held_out(F.col("doc_id"), 5, 1)).where("n_tokens = 3").collect()
+    assert len(got) == 3 and all(r["score"] - r["base_score"] > 10 for r in got)
+
+
 def test_lm_edges(edge, no_rows):
     out = language.held_out(F.col("doc_id"), 5, 1)
     assert ngram_lm.score_texts(edge, out).count() == len(EDGE_ROWS)
