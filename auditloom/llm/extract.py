@@ -185,17 +185,18 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
     return out
 
 
-def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    """Kept blocks of a page, joined by a line feed."""
+def main_text(page: str | None, rules: Rules = Rules(), separator: str = "\n") -> str:
+    """Kept blocks of a page, joined by the separator."""
     blocks = blocks_of(page or "")
     has_article = any(b.inside and not b.aside for b in blocks)
     labels = [first_pass(b, has_article, rules) for b in blocks]
     kept = second_pass(labels, [b.heading for b in blocks])
-    return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
+    return separator.join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
-def extract_text(pages: DataFrame, html_column: str = "html", column: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """pages and the main text of each, from the whole HTML; null or empty HTML gives an empty text.
+def extract_text(pages: DataFrame, html_column: str = "html", column: str = "text", rules: Rules = Rules(), separator: str = "\n\n") -> DataFrame:
+    """pages and the main text of each, from the whole HTML, with the separator between blocks; null or empty HTML gives
+    an empty text.
 
     Each row is judged by itself. A column of the name given is replaced; other columns stay as they are.
     """
@@ -203,6 +204,6 @@ def extract_text(pages: DataFrame, html_column: str = "html", column: str = "tex
     @F.arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([main_text(x.as_py(), rules) for x in batch], pa.string())
+            yield pa.array([main_text(x.as_py(), rules, separator) for x in batch], pa.string())
 
     return pages.withColumn(column, extract.asNondeterministic()(F.col(html_column)))

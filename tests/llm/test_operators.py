@@ -78,6 +78,11 @@ def test_extract_text(spark):
     assert extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_blocks_of_extracted_text_are_two_line_feeds_apart(spark):
+    pages = spark.createDataFrame([(1, "<article><h1>a</h1><p>b  c</p><p>d</p></article>")], "page_id long, html string")
+    assert extract.extract_text(pages).first()["text"] == "a\n\nb c\n\nd"
+
+
 # ---- tokens ----
 
 
