@@ -7,10 +7,11 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, extract, language, licenses, mixing, near_dups, ngram_lm, repetition, substrings, token_counts
+from auditloom.llm import decontaminate, extract, language, licenses, mixing, near_dups, ngram_lm, repetition, substrings, token_counts, words
 from auditloom.llm.components import components
 
 from edge_rows import CLASHES, EDGE_ROWS
@@ -392,6 +393,20 @@ def edit(a, b):
     return row[-1]
 
 
+def test_near_duplicates_that_share_only_keys_of_many_texts(spark):
+    """One key for each text, which most have from a passage of all; each pair has 20 words of its own."""
+    passage, docs = [f"p{k}" for k in range(60)], []
+    for k in range(40):
+        own = [f"own{k}x{j}" for j in range(20)]
+        docs += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join([*passage, *own[:-1], "edit"]))]
+    s = near_dups.NearSettings(keys=1)
+    (block,) = words.text_blocks(pa.array([t for _, t in docs], pa.string()))
+    keys = near_dups.sketch(block, s)[3][:, 0].tolist()
+    hot = [k for k in range(40) if keys[2 * k] == keys[2 * k + 1] and keys.count(keys[2 * k]) > s.few]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string"), s).collect()}
+    assert len(hot) > 10 and all(got[2 * k] == got[2 * k + 1] == 2 * k for k in hot)
+
+
 def test_near_duplicate_edges(edge, no_rows):
     assert near_dups.near_duplicate_classes(edge).count() == len(EDGE_ROWS)
     kept = near_dups.one_per_class(edge)
