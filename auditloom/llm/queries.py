@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, extract, language, lexical, licenses, mixing, near_dups, ngram_lm, repetition, substrings, token_counts
+from auditloom.llm import alignment, cover_tree, decontaminate, extract, language, lexical, licenses, mixing, near_dups, ngram_lm, repetition, substrings, token_counts
 from auditloom.llm.store import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,11 +70,20 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir)).per_document()
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language, op2_main_text, op3_token_counts, op4_mix, op5_decontaminate, op6_licenses, op7_repetition, op8_substrings, op9_lm_scores, op10_near_duplicates, op11_search)
+    for f in (op1_language, op2_main_text, op3_token_counts, op4_mix, op5_decontaminate, op6_licenses, op7_repetition, op8_substrings, op9_lm_scores, op10_near_duplicates, op11_search, op12_alignment, op13_near_vectors)
 }
 CHECKS = {
     "op4_mix": mixing.MIX_SQL.format(docs="documents") + "SELECT doc_id, size, source_size, target, copies * size AS taken FROM counted",
     "op11_search": lexical.SEARCH_SQL,
+    "op13_near_vectors": cover_tree.NEAR_SQL,
 }
