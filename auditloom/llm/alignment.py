@@ -143,8 +143,8 @@ class Block:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Places (in a, in b) of all tokens whose bytes overlap."""
-        a_begin = np.concatenate([[0], self.a_end[:-1]])
-        b_begin = np.concatenate([[0], self.b_end[:-1]])
+        a_begin = np.concatenate([[0], self.a_end])[:-1]
+        b_begin = np.concatenate([[0], self.b_end])[:-1]
         low = np.searchsorted(self.b_end, a_begin, "right")
         n = np.searchsorted(b_begin, self.a_end, "left") - low
         left = np.repeat(np.arange(len(self.a)), n)
@@ -385,9 +385,9 @@ class Alignment:
     def per_document(self) -> DataFrame:
         """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row per input row."""
         value = (F.col("links") * 2 + F.col("best").cast("long")).alias("value")
-        asked = self.chunks.select("chunk", F.explode("pair").alias("pair")).join(self.counts.select("pair", value), "pair")
+        asked = self.chunks.select(F.col("chunk").alias("asker"), F.explode("pair").alias("pair")).join(self.counts.select("pair", value), "pair")
         texts = self.chunks.select("chunk", "docs", "packed")
-        return texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_digest, DIGESTS)
+        return texts.groupBy("chunk").cogroup(asked.groupBy("asker")).applyInArrow(_digest, DIGESTS)
 
 
 def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, chunk_chars: int = 6_000_000) -> Alignment:
