@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.schemas import REPORT_SCHEMA
+from auditloom.schemas import JOB_EVENTS_SCHEMA, JOB_STATUSES, REPORT_SCHEMA
 
 UNREACHED = "The site could not be reached"
 BLOCKED = "No page of the site could be audited"
+RUNNING = [s for s in JOB_STATUSES if s not in ("PENDING", "SUCCESS", "FAILURE")]
 # columns that an event may set; NULL leaves the earlier value
 STATE_COLUMNS = ["url", "email", "status", "result", "error_message", "completed_at"]
 
@@ -22,6 +23,31 @@ def create_jobs(requests: DataFrame, stable_ids: bool = True) -> DataFrame:
     )
 
 
+def job_events(*tables: DataFrame) -> DataFrame:
+    """Tables of events as one, with the columns of the event table; a status of no job fails the run."""
+    known = F.col("status").isNull() | F.col("status").isin(JOB_STATUSES)
+    status = F.when(known, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown job status: "), F.col("status"))))
+    rows = None
+    for table in tables:
+        have = {f.name for f in JOB_EVENTS_SCHEMA} & set(table.columns)
+        columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in JOB_EVENTS_SCHEMA]
+        rows = table.select(*columns) if rows is None else rows.unionByName(table.select(*columns))
+    return rows.withColumn("status", status)
+
+
+def progress_events(jobs: DataFrame, at: dict[str, Column]) -> DataFrame:
+    """An event for each job (job_id, event_id) and status of the run, at the time given for it."""
+    steps = F.array(*[F.struct(F.lit(status).alias("status"), at[status].cast("timestamp").alias("ts")) for status in RUNNING])
+    return jobs.select("job_id", "event_id", F.inline(steps))
+
+
+def job_reports(events: DataFrame) -> DataFrame:
+    """What a reader of jobs gets: state, times and typed report of every job in the event table."""
+    return read_reports(job_latest_state(events)).select(
+        "job_id", "url", "email", "status", "result", "error_message", "created_at", "updated_at", "completed_at"
+    )
+
+
 def latest_parts(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per job and column the last value set, still mergeable: struct(at, value) columns.
 
@@ -36,15 +62,20 @@ def latest_parts(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def merge_parts(parts: DataFrame) -> DataFrame:
-    """Latest state from any number of partial states per job."""
+def fold_parts(parts: DataFrame) -> DataFrame:
+    """One partial state per job from any number of them."""
     columns = [c for c in STATE_COLUMNS if c in parts.columns]
-    merged = parts.groupBy("job_id").agg(
+    return parts.groupBy("job_id").agg(
         *[F.max(c).alias(c) for c in columns],
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
     )
-    return merged.select(
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Latest state from any number of partial states per job."""
+    columns = [c for c in STATE_COLUMNS if c in parts.columns]
+    return fold_parts(parts).select(
         "job_id", *[F.col(c).value.alias(c) for c in columns], "created_at", "updated_at"
     )
 

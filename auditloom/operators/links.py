@@ -98,18 +98,35 @@ def is_allowed(target: Column, rules: Column, missing_robots: str) -> Column:
     )
 
 
+def prefix_rules(robots: DataFrame, agent: str = DEFAULT_AGENT) -> tuple[DataFrame, DataFrame]:
+    """The rules that bind `agent` as an index: (host, path, line, allow), the first rule of each path; and (host, lengths),
+    a row for each host with a file: the lengths that its paths have."""
+    hosts = agent_rules(robots, agent)
+    rules = hosts.select("host", F.inline("rules")).groupBy("host", "path").agg(F.min(F.struct("line", "allow")).alias("first"))
+    lengths = hosts.select("host", F.array_sort(F.array_distinct(F.transform("rules", lambda r: F.length(r.path)))).alias("lengths"))
+    return rules.select("host", "path", "first.line", "first.allow"), lengths
+
+
 def robots_filter(
     links: DataFrame, robots: DataFrame, agent: str = DEFAULT_AGENT, missing_robots: str = "deny"
 ) -> DataFrame:
-    """Keep the links that robots rules allow.
+    """Keep the links that robots rules allow: of the rules whose path is a prefix, the first decides.
 
-    The rule side has one row per host. Its size is not bounded, so no broadcast is forced: Spark
-    broadcasts below its threshold and splits skewed hosts of the link side otherwise.
+    Each distinct path of a host is judged once. It explodes to its prefixes, of the lengths that occur among the host's
+    rules, and these meet the rules in an equi-join on (host, prefix): the work for a path grows with the lengths, not with the
+    rules of its host. Neither side is bounded, so no broadcast is forced; Spark splits skewed hosts of the link side.
     """
-    joined = links.withColumn("_host", host(F.col("target"))).join(
-        agent_rules(robots, agent).withColumnRenamed("host", "_host"), "_host", "left"
-    )
-    return joined.where(is_allowed(F.col("target"), F.col("rules"), missing_robots)).drop("_host", "rules")
+    rules, lengths = prefix_rules(robots, agent)
+    path = _unquote(url_path(F.col("target")))
+    asked = links.withColumns({"_host": host(F.col("target")), "_path": F.when(path == "", F.lit("/")).otherwise(path)})
+    distinct = asked.select("_host", "_path").distinct().join(lengths.withColumnRenamed("host", "_host"), "_host", "left")
+    fitting = F.filter("lengths", lambda n: n <= F.length("_path"))
+    prefixes = distinct.select("_host", "_path", F.explode(fitting).alias("_n")).withColumn("_prefix", F.expr("left(_path, _n)"))
+    hits = prefixes.join(rules.select(F.col("host").alias("_host"), F.col("path").alias("_prefix"), "line", "allow"), ["_host", "_prefix"])
+    first = hits.groupBy("_host", "_path").agg(F.min_by("allow", "line").alias("_allow"))
+    without_file = F.when(F.col("lengths").isNull(), F.lit(missing_robots == "allow")).otherwise(F.lit(True))
+    judged = distinct.join(first, ["_host", "_path"], "left").select("_host", "_path", F.coalesce("_allow", without_file).alias("_allow"))
+    return asked.join(judged.where("_allow").drop("_allow"), ["_host", "_path"], "left_semi").drop("_host", "_path")
 
 
 def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
@@ -127,15 +144,16 @@ def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """Captures with status 200 as edges (url, page_id, pos, target); one NULL target row per page."""
-    ok = pages.where("status_code = 200").select("page_id", F.col("url").alias("_own"), "html")
-    ok = ok.select("page_id", "html", _each(normalize(F.col("_own"), F.col("_own")), "url"))
+    """Captures with status 200 as edges (url, page_id, fetched_at, pos, target); one NULL target row per page."""
+    fetched = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    ok = pages.where("status_code = 200").select("page_id", F.col("url").alias("_own"), "html", fetched.alias("fetched_at"))
+    ok = ok.select("page_id", "html", "fetched_at", _each(normalize(F.col("_own"), F.col("_own")), "url"))
     tokens = html_tokens(ok)
     is_link = F.coalesce((F.col("tag") == "a") & F.col("kind").isin("open", "void"), F.lit(False))
     tokens = tokens.withColumn("pos", F.coalesce("pos", F.lit(0))).where(is_link | (F.col("pos") == 0))
     target = F.when(is_link, normalize(H.attr("href"), F.col("url")))
     wanted = F.filter(F.array(target), lambda x: x.isNotNull() | (F.col("pos") == 0))
-    return tokens.select("page_id", "url", "pos", F.explode(wanted).alias("target"))
+    return tokens.select("page_id", "url", "fetched_at", "pos", F.explode(wanted).alias("target"))
 
 
 def crawl_replay(
@@ -149,7 +167,9 @@ def crawl_replay(
     """Bounded breadth-first crawl of captured pages, all sites at once.
 
     `seeds` holds (site_id, seed_url). Returns (site_id, crawl_pos, page_id, url). Without `robots`
-    nothing is filtered.
+    nothing is filtered. Links stay on their host, so only captures of the seeds' hosts are looked into; where captures
+    are stored by `host` (see `write_captures`) they are found without an exchange. Of the captures of a URL the newest
+    counts (of equals, or without `fetched_at`, that of the least page_id).
 
     Fetch order is a plain queue, so a whole breadth-first level is one round. A round that finds no
     page ends its site, and `limit + 2` pages end it too, so there are at most `limit + 2` rounds. Pages
@@ -164,7 +184,11 @@ def crawl_replay(
         sites = sites.withColumn("rules", F.array().cast("array<struct<line:int,allow:boolean,path:string>>"))
     else:
         sites = sites.join(agent_rules(robots, agent).withColumnRenamed("host", "_host"), "_host", "left")
-    sites = checkpoint(sites.drop("_host"))
+    sites = checkpoint(sites)
+    if "host" not in pages.columns:
+        pages = pages.withColumn("host", host(F.col("url")))
+    pages = pages.join(sites.select(F.col("_host").alias("host")).distinct(), "host", "left_semi")
+    sites = sites.drop("_host")
     edges = checkpoint(link_edges(pages).repartition("url"))
 
     frontier = sites.select("site_id", F.lit(0).alias("k"), "url", F.lit(None).cast("int").alias("parent"))
@@ -175,7 +199,8 @@ def crawl_replay(
     same_url = Window.partitionBy("site_id", "k")
 
     while not frontier.isEmpty():
-        hits = frontier.join(edges, "url", "left").withColumn("_page", F.min("page_id").over(same_url))
+        newest = F.max_by("page_id", F.struct("fetched_at", -F.col("page_id"))).over(same_url)
+        hits = frontier.join(edges, "url", "left").withColumn("_page", newest)
         hits = checkpoint(hits.where("_page IS NULL OR page_id = _page"))
         level = hits.groupBy("site_id", "k").agg(F.max("_page").alias("page_id"), F.max("url").alias("url"))
         level = level.join(tally, "site_id").withColumn("ok", F.col("page_id").isNotNull().cast("int"))

@@ -9,8 +9,12 @@ from pyspark.sql import types as TY
 from auditloom.functions import text as T
 from auditloom.functions.text import let
 from auditloom.operators.rollup import mean_half_even, top_messages
+from auditloom.session import checkpoint
+from auditloom.sources.keyed_store import KeyedStore
 
 DIMENSIONS = 64
+FIRST_LETTER = 48
+VECTORS = TY.StructType([TY.StructField("key", TY.StringType()), TY.StructField("vector", TY.ArrayType(TY.FloatType()))])
 
 
 def text_chunks(parsed: DataFrame) -> DataFrame:
@@ -26,11 +30,12 @@ def bag_vector(text: Column) -> Column:
         T.words(F.lower(text)),
         lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % DIMENSIONS,
     )
+    # a letter per word, so that a bucket is counted by what its letter takes out of one short text
+    letters = F.array_join(F.transform(buckets, lambda b: F.char(b + FIRST_LETTER)), "")
     counts = let(
-        buckets,
-        lambda found: F.transform(
-            F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
-            lambda b: (F.size(found) - F.size(F.array_remove(found, b))).cast("double"),
+        letters,
+        lambda found: F.array(
+            *[(F.length(found) - F.length(F.replace(found, F.lit(chr(FIRST_LETTER + b)), F.lit("")))).cast("double") for b in range(DIMENSIONS)]
         ),
     )
     return unit_vector(counts)
@@ -81,6 +86,28 @@ def embed_with_model(chunks: DataFrame, make_predict: Callable, batch_size: int
     ).drop("_h", "_c")
 
 
+def embed_with_store(chunks: DataFrame, make_predict: Callable, path: str, batch_size: int = 32) -> DataFrame:
+    """As `embed_with_model`, but each text goes to the model once, in this run and in those before it.
+
+    The distinct texts of headings and contents meet the vectors kept at `path`, those without one are embedded
+    and added as a new run, and both vectors are joined back. Texts are told apart by their md5.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    predict = predict_batch_udf(make_predict, return_type=TY.ArrayType(TY.FloatType()), batch_size=batch_size)
+    keyed = chunks.withColumns({"_h": F.md5("heading"), "_c": F.md5("content")})
+    texts = keyed.select(F.inline(F.array(*[F.struct(F.col(k).alias("key"), F.col(t).alias("text")) for k, t in (("_h", "heading"), ("_c", "content"))])))
+    texts = checkpoint(texts.dropDuplicates(["key"]))
+    store = KeyedStore(chunks.sparkSession, path, ["key"], VECTORS, lambda rows: rows.dropDuplicates(["key"]))
+    n = store.batches()
+    fresh = texts.join(store.of(texts, n).select("key"), "key", "left_anti") if n else texts
+    store.put(fresh.select("key", unit_vector(predict("text").cast("array<double>")).alias("vector")), n)
+    vectors = store.of(texts, n + 1)
+    for key, name in (("_h", "heading_vector"), ("_c", "content_vector")):
+        keyed = keyed.join(vectors.select(F.col("key").alias(key), F.col("vector").alias(name)), key, "left")
+    return keyed.drop("_h", "_c")
+
+
 def alignment_score(heading_vector: Column, content_vector: Column) -> Column:
     """Dot product times 100, half-even; may be negative."""
     products = F.zip_with(heading_vector, content_vector, lambda a, b: a.cast("double") * b.cast("double"))

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,9 @@ from auditloom.operators import tokens as K
 from auditloom.operators.cooldown import client_key, cooldown_admit
 from auditloom.operators.extract import parse_pages
 from auditloom.plans import fixtures as X
-from auditloom.plans.audit import audit_pages
+from auditloom.plans.audit import audit_pages, audit_sites
 from auditloom.session import checkpoint, configure, scratch_folder
-from auditloom.sources.captures import fetch_ok, page_scan
+from auditloom.sources.captures import fetch_ok, page_scan, scan_json
 from auditloom.streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,19 @@ def page_scan_query(spark, d):
     return page_scan(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
 
 
+@query
+def page_scan_json(spark, d):
+    folder = f"{scratch_folder(spark)}/captures"
+    line = F.to_json(F.struct("page_id", "url", "html"))
+    case = F.col("page_id") % 10
+    torn = F.when(case == 3, F.expr("left(line, length(line) - 12)")).when(case == 7, F.regexp_replace("line", '"page_id":([0-9]+)', '"page_id":"x$1"'))
+    spark.read.parquet(f"{d}/pages.parquet").select("page_id", line.alias("line")).select(F.coalesce(torn, "line")).write.text(folder)
+    rows = scan_json(spark, folder)
+    return rows.select(
+        "page_id", "url", F.length("html").alias("n_chars"), F.regexp_extract("rescued", '"page_id":"?(x?[0-9]+)', 1).alias("rescued_id")
+    )
+
+
 @query
 def fetch_ok_filter(spark, d):
     return fetch_ok(_enriched(spark, d)).select("page_id", "status_code")
@@ -124,6 +138,25 @@ def report_read(spark, d):
     )
 
 
+@query
+def job_life_cycle(spark, d):
+    # an audit request for every site, its run, and the outcome that its report decides
+    def at(column, seconds):
+        return F.timestamp_seconds(F.lit(1704067200 + seconds) + F.col(column))
+
+    sites = _sites(spark, d)
+    requests = sites.select(F.col("site_id").cast("long").alias("event_id"), at("site_id", 0).alias("ts"), "url", F.lit("a@example.org").alias("email"))
+    created = J.create_jobs(requests)
+    running = J.progress_events(created, {status: at("event_id", 60 * (k + 1)) for k, status in enumerate(J.RUNNING)})
+    report = _audit(spark, d).report.join(created.select("job_id", F.col("event_id").cast("int").alias("site_id")), "site_id")
+    events = J.job_events(created, running, J.job_outcome(report, at("site_id", 600)))
+    r = F.col("result")
+    return J.job_reports(events).select(
+        "job_id", "url", "email", "status", "error_message", "created_at", "updated_at", "completed_at",
+        r.overall_score.alias("overall_score"), r.pages_crawled.alias("pages_crawled"), joined(r.findings).alias("findings"),
+    )
+
+
 @query
 def report_pages(spark, d):
     audit = _audit(spark, d)
@@ -334,9 +367,9 @@ def _seeds(spark, d):
     return rows.withColumn("seed_url", F.concat(F.lit("https://S"), "site_id", F.lit(".example.com/p0/?start=1")))
 
 
-def _site_links(spark, d):
-    links = L.crawl_links(_site_pages(spark, d))
-    return links.withColumn("crawl_pos", F.floor(F.col("page_id") / 4).cast("int"))
+def _links(spark, d):
+    """Links of the captured pages."""
+    return L.crawl_links(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 @query
@@ -346,29 +379,29 @@ def robots_rules(spark, d):
 
 @query
 def crawl_links(spark, d):
-    return L.crawl_links(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "pos", "target")
+    return _links(spark, d).select("page_id", "pos", "target")
 
 
 @query
 def robots_filter(spark, d):
-    return L.robots_filter(_site_links(spark, d), _robots(spark, d)).select("site_id", "page_id", "pos", "target")
+    return L.robots_filter(_links(spark, d), _robots(spark, d)).select("page_id", "pos", "target")
 
 
 @query
 def robots_filter_allow(spark, d):
-    return L.robots_filter(_site_links(spark, d), _robots(spark, d), missing_robots="allow").select(
-        "site_id", "page_id", "pos", "target"
-    )
+    return L.robots_filter(_links(spark, d), _robots(spark, d), missing_robots="allow").select("page_id", "pos", "target")
 
 
 @query
 def new_links(spark, d):
-    visited = _site_pages(spark, d).where("page_id % 3 = 0").select("site_id", "url")
-    return L.new_links(_site_links(spark, d), visited)
+    # links of every third page have been visited in earlier rounds, as have their pages
+    links = _links(spark, d).select((F.col("page_id") % 4).cast("int").alias("site_id"), F.col("page_id").alias("crawl_pos"), "pos", "target")
+    before = F.col("crawl_pos") % 3 == 0
+    return L.new_links(links.where(~before), links.where(before).select("site_id", F.col("target").alias("url")))
 
 
 def _replay(spark, d, **options):
-    robots = _robots(spark, d) if options.pop("robots", False) else None
+    robots = X.table(spark, d, X.SITE_ROBOTS) if options.pop("robots", False) else None
     rows = L.crawl_replay(_site_pages(spark, d), _seeds(spark, d), robots, **options)
     return rows.select("site_id", "crawl_pos", "page_id", "url")
 
@@ -496,9 +529,7 @@ def top_recommendations(spark, d):
     return _top(spark, d, "recommendation")
 
 
-@query
-def site_report(spark, d):
-    report = _audit(spark, d).report
+def _flat_report(report):
     return report.select(
         "site_id", "url", "pages_crawled", "pages_scored", "pages_unreachable", "overall_score", "semantic_score",
         *[joined(F.col(c)).alias(c) for c in ("findings", "recommendations", "semantic_findings", "semantic_recommendations")],
@@ -506,12 +537,27 @@ def site_report(spark, d):
     )
 
 
+@query
+def site_report(spark, d):
+    return _flat_report(_audit(spark, d).report)
+
+
 @query
 def report_messages(spark, d):
     tops = R.top_messages(R.site_messages(_scores(spark, d)))
     return tops.select("site_id", "kind", "rank", R.message_text(F.col("message")).alias("text"), "n")
 
 
+@query
+def audit_from_seed(spark, d):
+    # the first and the last page of each host are seeds
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", U.host(F.col("url")).alias("host"))
+    ends = pages.groupBy("host").agg(F.array_distinct(F.array(F.min("page_id"), F.max("page_id"))).alias("ends"))
+    seeds = ends.select(F.explode("ends").alias("page_id")).join(pages, "page_id")
+    seeds = seeds.select(F.col("page_id").cast("int").alias("site_id"), F.col("url").alias("seed_url"))
+    return _flat_report(audit_sites(_captures(spark, d).drop("site_id", "crawl_pos"), seeds).report)
+
+
 @query
 def crawl_duration(spark, d):
     return R.crawl_durations(_captures(spark, d))
@@ -547,6 +593,27 @@ def embed_chunks(spark, d):
     return flat.where("weight <> 0").select("page_id", "section_position", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
 
+def _letter_counts():
+    """A model without weights: length, two letters and blanks of a text."""
+
+    def predict(texts):
+        return np.array([[len(t), t.count("e"), t.count("n"), t.count(" ")] for t in texts], dtype="float32")
+
+    return predict
+
+
+@query
+def embed_chunks_model(spark, d):
+    parsed = checkpoint(M.text_chunks(_parsed(spark, d)))
+    folder = f"{scratch_folder(spark)}/vectors"
+    # an earlier run has embedded every third page
+    M.embed_with_store(parsed.where("page_id % 3 = 0"), _letter_counts, folder)
+    rows = M.embed_with_store(parsed, _letter_counts, folder)
+    sides = [F.transform(f"{side}_vector", lambda x: F.round(x.cast("double"), 5)) for side in ("heading", "content")]
+    values = [side[k].alias(f"{name}{k}") for name, side in zip("hc", sides) for k in range(4)]
+    return rows.select("page_id", "section_position", *values)
+
+
 def _vector_chunks(spark, d):
     rows = X.table(spark, d, X.CHUNK_VECTORS)
     return rows.select(
@@ -635,13 +702,8 @@ def stream_cooldown(spark, d):
     folder = scratch_folder(spark)
     key = client_key(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(", proxy")))
     requests = _event_stream(spark, d).select("event_id", "ts", key.alias("client"))
-    admitted = ST.cooldown_stream(requests, 86400)
-    run = (
-        admitted.writeStream.format("parquet").option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("event_id", "client")
+    ST.cooldown_stream(requests, folder, f"{folder}/checkpoints", 86400).awaitTermination()
+    return ST.read_admitted(spark, folder, 86400, ended=True).select("event_id", "client")
 
 
 @query
@@ -656,8 +718,8 @@ def stream_job_state(spark, d):
         F.concat(F.lit("job-"), "user_id").alias("job_id"), "ts", "event_id", status.alias("status"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("error_message"),
     )
-    ST.job_state_stream(events, f"{folder}/parts", f"{folder}/state").awaitTermination()
-    return ST.read_job_state(spark, f"{folder}/parts").select(
+    ST.job_state_stream(events, folder, f"{folder}/state").awaitTermination()
+    return ST.read_job_state(spark, folder, events.schema).select(
         "job_id", "status", "error_message", "created_at", "updated_at"
     )
 

@@ -144,8 +144,9 @@ fnode as (select t.page_id, t.block, t.id, json_extract(t.value, '$.mainEntity')
   and (json_extract_string(t.value, '$."@type"')='FAQPage' or (json_type(t.value, '$."@type"')='ARRAY' and list_contains(CAST(json_extract_string(t.value, '$."@type"[*]') AS VARCHAR[]), 'FAQPage')))),
 fitem as (select page_id, block, id, unnest(CAST(json_extract(me, '$[*]') AS JSON[])) it, generate_subscripts(CAST(json_extract(me, '$[*]') AS JSON[]), 1) i from fnode),
 faq as materialized (select page_id, block, CAST(row_number() over (partition by page_id, block order by id, i)-1 AS INT) bpos, CAST(row_number() over (partition by page_id order by block, id, i)-1 AS INT) pos,
-  it->>'name' question, concat_ws(' ', it->'acceptedAnswer'->>'text', it->>'text') answer from fitem
-  where coalesce(it->>'name','')<>'' and (coalesce(it->'acceptedAnswer'->>'text','')<>'' or coalesce(it->>'text','')<>''))
+  it->>'name' question, concat_ws(' ', nullif(it->'acceptedAnswer'->>'text',''), nullif(it->>'text','')) answer from fitem
+  -- an answer object counts even where its text is empty
+  where coalesce(it->>'name','')<>'' and (json_type(it, '$.acceptedAnswer')='OBJECT' or coalesce(it->>'text','')<>''))
 """
 
 PARSED = f"""
@@ -179,6 +180,7 @@ def check(name: str, sql: str) -> None:
     CHECKS[name] = sql
 
 
+check("page_scan_json", "select case when page_id%10 not in (3,7) then page_id end page_id, case when page_id%10 not in (3,7) then url end url, case when page_id%10 not in (3,7) then CAST(length(html) AS INT) end n_chars, case page_id%10 when 3 then CAST(page_id AS VARCHAR) when 7 then concat('x', page_id) end rescued_id from pages")
 check("page_scan", "select page_id, url, length(html) n_chars from pages")
 check("fetch_ok_filter", with_ctes(ENRICHED) + "select page_id, status_code from pages_in where status_code=200")
 check("html_tokens", with_ctes(RAW, TOKENS) + "select page_id, pos, kind, case when kind='other' then '' else tag end tag, length(raw) n_chars from tok")
@@ -372,6 +374,9 @@ _BANDS = """case when alignment_score>70 then concat('section.coherent:', headin
 check("chunks", with_ctes(*TREE_OF, EXTRACT, _BAG) + "select page_id, section_position, heading, content from chunk")
 check("embed_chunks", with_ctes(*TREE_OF, EXTRACT, _BAG) + "select page_id, section_position, CAST(bucket AS INT) bucket, round(CAST(weight AS DOUBLE), 5) weight from weighted where side='c'")
 check("alignment_band", with_ctes(*TREE_OF, EXTRACT, _BAG) + f"select page_id, section_position, alignment_score, {_BANDS} from aligned")
+_COUNTS = [f"CAST({e} AS DOUBLE)" for e in ("length(T)", "length(T)-length(replace(T,'e',''))", "length(T)-length(replace(T,'n',''))", "length(T)-length(replace(T,' ',''))")]
+_LETTERS = ", ".join(f"round(CAST(CAST(({e})/sqrt({'+'.join(f'({x})*({x})' for x in _COUNTS)}) AS FLOAT) AS DOUBLE), 5) {name}{k}".replace("(T", f"({t}") for name, t in (("h", "heading"), ("c", "content")) for k, e in enumerate(_COUNTS))
+check("embed_chunks_model", with_ctes(*TREE_OF, EXTRACT, _BAG) + f"select page_id, section_position, {_LETTERS} from chunk")
 _VECTORS = f"vec as ({X.CHUNK_VECTORS.strip()})"
 check("embed_chunks_table", with_ctes(_VECTORS) + "select chunk_id, page_id, CAST(len(hv) AS INT) n_dims from vec")
 _VALIGN = f"valign as materialized (select *, {half_even('list_sum([CAST(hv[i] AS DOUBLE)*CAST(cv[i] AS DOUBLE) for i in range(1, len(hv)+1)])*100')} alignment_score from vec)"
@@ -421,11 +426,20 @@ check("report_write", with_ctes(*REPORT_ALL) + "select site_id, url, pages_crawl
 check("report_pages", with_ctes(*REPORT_ALL) + "select p.site_id, p.crawl_pos, p.url, g.overall_score page_score, s.overall_score semantic_score, s.n_sections, r.status_code gone_code, r.reason gone_reason from pages_in p left join paged g using (site_id, crawl_pos) left join (select spages.*, CAST(n AS INT) n_sections from spages join (select page_id, count(*) n from aligned group by 1) using (page_id)) s using (site_id, crawl_pos) left join reasons r on r.status_code=p.status_code where g.overall_score is not null or s.overall_score is not null or r.reason is not null")
 _ERROR = f"case when pages_crawled=0 then '{UNREACHED}' when pages_scored=0 then '{BLOCKED}' end"
 check("job_outcome", with_ctes(*REPORT_ALL) + f"select concat('job-', site_id) job_id, case when {_ERROR} is null then 'SUCCESS' else 'FAILURE' end status, {_ERROR} error_message, case when {_ERROR} is null then url end url, {_ERROR} is null has_result from report")
+check("job_life_cycle", with_ctes(*REPORT_ALL) + f"""select sha256(concat_ws('|', site_id, url, 'a@example.org')) job_id, url, 'a@example.org' email, case when {_ERROR} is null then 'success' else 'failure' end status, {_ERROR} error_message,
+ make_timestamp(CAST(1704067200+site_id AS BIGINT)*1000000) created_at, make_timestamp(CAST(1704067800+site_id AS BIGINT)*1000000) updated_at, make_timestamp(CAST(1704067800+site_id AS BIGINT)*1000000) completed_at, case when {_ERROR} is null then overall_score end overall_score, case when {_ERROR} is null then pages_crawled end pages_crawled, case when {_ERROR} is null then findings end findings from report""")
 check("report_read", with_ctes(*REPORT_ALL) + f"select concat('job-', site_id) job_id, case when {_ERROR} is null then 'success' else 'failure' end status, {_ERROR} error_message, case when {_ERROR} is null then overall_score end overall_score, case when {_ERROR} is null then pages_crawled end pages_crawled, case when {_ERROR} is null then findings end findings, case when {_ERROR} is null then pages_scored end n_pages, case when {_ERROR} is null then content_points end content_points from report")
 
 _RAW = "pages_in as materialized (select CAST(page_id%8 AS INT) site_id, CAST(page_id//8 AS INT) crawl_pos, page_id, url, CAST(200 AS INT) status_code, 1704067200+page_id fetched, html from pages)"
 check("stream_page_audit", with_ctes(_RAW, *REPORT_ALL[1:]) + "select site_id, pages_crawled, pages_scored, overall_score, semantic_score, findings, semantic_findings, CAST(points AS BIGINT) points from report where pages_crawled>0")
 
+# each seed reaches the newest capture of its own URL: no link leads to another capture
+_SEEDED = f"""caps as materialized ({X.sql_for_duckdb(X.SITE_CAPTURES)}),
+named as materialized (select *, regexp_extract(url, '//([^/?#]*)', 1) host, rtrim(lower(regexp_extract(url, '^[^?#]*')), '/') plain_url from caps),
+sites as materialized (select CAST(page_id AS INT) site_id, url, plain_url from (select *, min(page_id) over (partition by host) lo, max(page_id) over (partition by host) hi from named) t where page_id in (lo, hi)),
+pages_in as materialized (select s.site_id, 0 crawl_pos, CAST(s.site_id AS BIGINT) page_id, n.url, n.status_code, n.fetched, n.html from sites s join (select plain_url, arg_max(page_id, (fetched, -page_id)) page_id from named where status_code=200 group by 1) last using (plain_url) join named n on n.page_id=last.page_id)"""
+check("audit_from_seed", with_ctes(_SEEDED, *[x for x in REPORT_ALL[1:] if x != SITES]) + f"select site_id, url, pages_crawled, pages_scored, pages_unreachable, overall_score, semantic_score, {_LISTS}, crawl_duration_seconds from report")
+
 # jobs
 _STATE = f"select job_id, arg_max(status, (ts, event_id)) status, arg_max(error_message, (ts, event_id)) filter (error_message is not null) error_message, min(ts) created_at, max(ts) updated_at from ({X.JOB_EVENTS.strip()}) e group by 1"
 check("job_latest_state", _STATE)
@@ -451,19 +465,33 @@ check("stream_cooldown", cooldown(86400) + "select event_id, client from req whe
 _SP = f"pages_in as materialized ({X.SITE_PAGES.strip()})"
 _LINKS = [_SP, TOKENS, ALL_LINKS]
 _SLINKS = "sl as materialized (select p.site_id, n.page_id, n.n pos, target, CAST(n.page_id//4 AS INT) crawl_pos from norm n join pages_in p using (page_id) where target is not null)"
-# which group of the fixture's files binds the agent, and its rules, stated plainly
-_RULES = "rules as (select * from (values ('s0.example.com',1,'*',1,false,'/p5'),('s2.example.com',1,'audit-bot',2,true,'/p31'),('s2.example.com',1,'audit-bot',3,false,'/p3'),('s2.example.com',2,'*',7,false,'/')) v(host, entry, agents, line, allow, path))"
-check("robots_rules", with_ctes(_RULES) + "select * from rules where host in (select concat('s', page_id%4, '.example.com') from pages)")
+# the rules of the fixture's files, from the pages that their lines come from
+_RULES = f"""li as materialized ({X.HOST_LINES.strip()}),
+files as materialized (select host, min(page_id)%7=6 is_empty, count(*) filter (page_id%2=0) n_even, bool_or(page_id%6<>4) filter (page_id%2=0) has_1, coalesce(bool_or(page_id%2=1), false) has_2 from li group by host having min(page_id)%5<>4),
+numbered as (select li.host, page_id, path, page_id%2+1 entry, row_number() over (partition by li.host, page_id%2 order by page_id) k, n_even from li join files using (host) where not is_empty),
+rules as materialized (select host, CAST(entry AS INT) entry, case entry when 1 then '*' else 'audit-bot,other' end agents, CAST(case entry when 1 then k else greatest(n_even, 1)+3+k end AS INT) line,
+ page_id%6 in (2,3) or path='' allow, case when page_id%6=0 then left(path, 4) else path end path from numbered where page_id%6<>4)"""
+check("robots_rules", with_ctes(_RULES) + "select * from rules")
 
 
 def allowed(missing: str) -> str:
-    first = "(select arg_min(allow, line) from rules r where r.host=concat('s', site_id, '.example.com') and entry=1 and starts_with(regexp_extract(target, '^https://[^/]*(.*)$', 1), r.path))"
-    return f"case when site_id=1 then {missing} else coalesce({first}, true) end"
+    """Agent audit-bot is named by the second group; where it has no rules, the group for all holds."""
+    path = "case when regexp_extract(target, '^https?://[^/]*(.*)$', 1)='' then '/' else regexp_extract(target, '^https?://[^/]*(.*)$', 1) end"
+    first = f"(select arg_min(allow, line) from rules r where r.host=h and r.entry=case when has_2 then 2 else 1 end and starts_with({path}, r.path))"
+    return f"select page_id, pos, target from (select *, regexp_extract(target, '^https?://([^/]*)', 1) h from (select page_id, n pos, target from norm where target is not null)) l left join files on files.host=h where case when files.host is null then {missing} else coalesce({first}, true) end"
 
 
 for _name, _missing in (("robots_filter", "false"), ("robots_filter_allow", "true")):
-    check(_name, with_ctes(*_LINKS, _SLINKS, _RULES) + f"select site_id, page_id, pos, target from sl where {allowed(_missing)}")
-check("new_links", with_ctes(*_LINKS, _SLINKS) + "select site_id, target url, CAST(min(crawl_pos*100000+pos)//100000 AS INT) found_at, CAST(min(crawl_pos*100000+pos)%100000 AS INT) found_pos from sl where (site_id, target) not in (select site_id, url from pages_in where page_id%3=0) group by 1, 2")
+    check(_name, with_ctes(RAW, TOKENS, ALL_LINKS, _RULES) + allowed(_missing))
+check("new_links", with_ctes(RAW, TOKENS, ALL_LINKS) + """select CAST(page_id%4 AS INT) site_id, target url, min(page_id*100000+n)//100000 found_at, CAST(min(page_id*100000+n)%100000 AS INT) found_pos from norm
+where target is not null and page_id%3<>0 and (page_id%4, target) not in (select (page_id%4, target) from norm where target is not null and page_id%3=0) group by 1, 2""")
+# the generated sites' files, stated plainly
+_SITE_RULES = "rules as (select * from (values ('s0.example.com',1,'*',1,false,'/p5'),('s2.example.com',1,'audit-bot',2,true,'/p31'),('s2.example.com',1,'audit-bot',3,false,'/p3'),('s2.example.com',2,'*',7,false,'/')) v(host, entry, agents, line, allow, path))"
+
+
+def site_allowed(missing: str) -> str:
+    first = "(select arg_min(allow, line) from rules r where r.host=concat('s', site_id, '.example.com') and entry=1 and starts_with(regexp_extract(target, '^https://[^/]*(.*)$', 1), r.path))"
+    return f"case when site_id=1 then {missing} else coalesce({first}, true) end"
 
 
 def replay(limit: int, rule: str) -> str:
@@ -477,11 +505,11 @@ run as (select site_id, [concat('https://s', site_id, '.example.com/p0')] queue,
    (select coalesce(list(u order by f), []) from (select u, min(bi*100000+li) f from (select bi, unnest(out_links) u, generate_subscripts(out_links, 1) li from (select unnest(batch) bu, generate_subscripts(batch, 1) bi) b join adj on adj.site_id=r.site_id and adj.url=bu) e where not list_contains(queue, u) group by u)) fresh
   from (select *, queue[head+1:head+3] batch from run where len(got)<{limit} and head<len(queue)) r))
 """
-    return with_ctes(*_LINKS, _SLINKS, _RULES, out) + "select site_id, CAST(generate_subscripts(got, 1)-1 AS INT) crawl_pos, unnest(got) url from (select site_id, arg_max(got, head) got from run group by 1)"
+    return with_ctes(*_LINKS, _SLINKS, _SITE_RULES, out) + "select site_id, CAST(generate_subscripts(got, 1)-1 AS INT) crawl_pos, unnest(got) url from (select site_id, arg_max(got, head) got from run group by 1)"
 
 
 for _name, _limit, _rule in [
     ("crawl_replay", 20, "true"), ("crawl_replay_limit_5", 5, "true"),
-    ("crawl_replay_robots", 10, allowed("false")), ("crawl_replay_robots_allow", 10, allowed("true")),
+    ("crawl_replay_robots", 10, site_allowed("false")), ("crawl_replay_robots_allow", 10, site_allowed("true")),
 ]:
     check(_name, f"select r.site_id, r.crawl_pos, p.page_id, r.url from ({replay(_limit, _rule)}) r join ({X.SITE_PAGES.strip()}) p using (url)")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom.operators import cooldown as C
 from auditloom.operators import jobs as J
 from auditloom.operators import rollup as R
 from auditloom.operators import semantic as M
@@ -102,6 +103,42 @@ def test_cooldown_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("seconds, bits", [(86400, 9), (300, 9), (86400, 5), (1, 9)])
+def test_cooldown_of_one_busy_client(spark, seconds, bits):
+    rng, start, n = random.Random(seconds + bits), datetime(2024, 1, 1), 20_000 if bits == 9 else 2_000
+    rows = [(i, start + timedelta(seconds=rng.randrange(30 * 86400)), "one") for i in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, client string")
+    got = {r.event_id for r in cooldown_admit(df, seconds, partitions=5, piece_bits=bits).where("admitted").collect()}
+    assert got == brute_force(rows, seconds)
+    # no step sees more of the client than a piece, or a row for each of its pieces
+    pieces = C.ranged_pieces(df.select("client", F.unix_micros("ts").alias("at")).distinct(), ["client", "at"], bits, 5)
+    assert pieces.groupBy("piece").count().agg(F.max("count")).first()[0] <= 1 << bits
+    entries = pieces.mapInPandas(C._entries(seconds * 1_000_000), "client string, piece long, entry long, until long")
+    assert entries.groupBy("piece").count().agg(F.max("count")).first()[0] <= 1 << bits
+
+
+def test_next_at_or_after(spark):
+    rng = random.Random(4)
+    points = sorted({(rng.choice("abc"), rng.randrange(1000)) for _ in range(150)})
+    probes = sorted({(rng.choice("abcd"), rng.randrange(1100)) for _ in range(300)})
+    frames = [spark.createDataFrame(x, "client string, at long") for x in (points, probes)]
+    for bits in (2, 16):
+        got = {(r.client, r.at): r.next for r in C.next_at_or_after(*frames, bits).collect()}
+        want = {(c, t): min(p for k, p in points if k == c and p >= t) for c, t in probes if any(k == c and p >= t for k, p in points)}
+        assert got == want
+
+
+def test_cooldown_of_odd_rows(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(1, t, None), (2, t, None), (3, None, "a"), (4, t, ""), (5, t + timedelta(seconds=300), None), (6, t + timedelta(seconds=299), "")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, client string")
+    got = cooldown_admit(df)
+    assert {r.event_id: r.admitted for r in got.collect()} == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
+    assert cooldown_admit(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        cooldown_admit(df, 0)
+
+
 def test_client_key(spark):
     df = spark.createDataFrame([(" a , b", "p"), (None, "p"), ("c", "p")], "xff string, peer string")
     assert [r.k for r in df.select(client_key(F.col("xff"), F.col("peer")).alias("k")).collect()] == ["a", "p", "c"]
@@ -222,19 +259,6 @@ def test_page_captured_again_replaces_the_older_capture(spark):
     assert got[0].pages_crawled == 2 and ST.read_latest_details(spark, f"{folder}/out").count() == 2
 
 
-def test_compacted_job_state(spark):
-    folder = scratch_folder(spark)
-    rows = [(f"j{i % 5}", datetime(2024, 1, 1) + timedelta(seconds=i), i, "PENDING" if i < 5 else "STARTED") for i in range(20)]
-    df = spark.createDataFrame(rows, "job_id string, ts timestamp, event_id long, status string")
-    df.repartition(4).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    ST.job_state_stream(stream, f"{folder}/parts", f"{folder}/state").awaitTermination()
-    ST.compact_job_state(spark, f"{folder}/parts", f"{folder}/folded")
-    want = sorted(map(tuple, J.job_latest_state(df).collect()))
-    assert sorted(map(tuple, ST.read_job_state(spark, f"{folder}/parts").collect())) == want
-    assert sorted(map(tuple, ST.read_job_state(spark, f"{folder}/folded").select(*J.job_latest_state(df).columns).collect())) == want
-
-
 @pytest.mark.parametrize("name", ["score_page", "site_messages", "crawl_replay_robots", "cooldown_admit_day"])
 def test_query_equals_sql(spark, name):
     from tools.compare import compare, connect
