@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where nobody set it (tests), a folder of this session's own."""
+    """spark.checkpoint.dir; where nobody set it, a folder of this session's own on one machine, and an error on a cluster,
+    whose executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
