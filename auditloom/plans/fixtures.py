@@ -13,7 +13,7 @@ PLAIN = "[^ !#$%()*+,./0-9:;=?@A-Z_a-z{|}¡-\ud7ff-]+"
 
 
 def plain(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '{PLAIN}', ' ' /*G*/), ' +', ' ' /*G*/))"
+    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '{PLAIN}', ' ' /*G*/), '  +', ' ' /*G*/))"
 
 
 def in_order(x: str, first: str, second: str, sep: str) -> str:
@@ -29,7 +29,9 @@ with turns as (select conv_id, turn-turn%2 pair, max(case when turn%2=0 then {pl
 faq as (select page_id, {in_order("""concat('{"@type":"Question","name":"',coalesce(nullif(q,''),'q'),'","acceptedAnswer":{"@type":"Answer","text":"',coalesce(a,''),'"}}')""", "conv_id", "pair", ",")} items
  from (select conv_id%(select max(page_id)+1 from pages) page_id, conv_id, pair, q, a from turns) t group by page_id),
 doc as (select page_id, min(concat(lpad(CAST(doc_id AS STRING), 12, '0'), '~', line)) line, {in_order("concat('<h2>',left(line,60),'</h2><p>',w,'</p>')", "doc_id", "0", "")} sections
- from (select doc_id%(select max(page_id)+1 from pages) page_id, doc_id, {plain("split_part(text,chr(10),1)")} line, {plain("text")} w from documents) t group by page_id),
+ from (select page_id, doc_id, {plain("split_part(text,chr(10),1)")} line, {plain("text")} w
+  -- dealt by page before the texts are worked on, which the grouping then needs no exchange for
+  from (select /*+ REPARTITION(page_id) */ doc_id%(select max(page_id)+1 from pages) page_id, doc_id, text from documents) d) t group by page_id),
 mix as (select p.page_id, p.url, p.html, faq.items, doc.sections, regexp_replace(doc.line, '^[0-9]+~', '') line from pages p left join doc on doc.page_id=p.page_id left join faq on faq.page_id=p.page_id)
 select p.page_id, p.url, CAST(case when p.page_id%17=5 then 404 when p.page_id%17=9 then 201 else 200 end AS INT) status_code,
  replace(replace(p.html,'</title>', concat('</title>',
