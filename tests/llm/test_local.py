@@ -239,3 +239,21 @@ def test_main_text_without_article_element():
     good = "The house of the king is in the north and it was built by the men who had come from the sea. " * 3
     page = f"<div><a href=1>Home</a> <a href=2>News</a></div><h2>The House</h2><p>{good}</p><p>It is old.</p><p>{good}</p><p>Buy now</p><ul><li><a href=3>More</a></ul>"
     assert extract.main_text(page).split("\n") == ["The House", good.strip(), "It is old.", good.strip()]
+
+
+def test_similar_texts_share_a_rare_token():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(5, 60))
+        a = rng.integers(0, 12, n).astype(np.uint32)
+        b, edits = a.tolist(), int(0.2 * n)
+        for _ in range(int(rng.integers(0, edits + 1))):
+            at = int(rng.integers(0, len(b)))
+            kind = rng.integers(3)
+            b[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(100))]
+        b = np.array(b, np.uint32)
+        if not near_dups.similar([a], [b], near_dups.NearSettings())[0]:
+            continue
+        uses = rng.integers(0, 50, 1 << near_dups.RARITY_BITS)
+        left, right = (near_dups.rare_tokens(x, uses, 0.8) for x in (a, b))
+        assert np.isin(left, right).any()
