@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,6 +245,7 @@ def _repeated_occurrences(docs: DataFrame, s: RepeatSettings) -> DataFrame:
     return stored(found.join(often, "anchor"), "repeat-occurrences")
 
 
+CUTS = 4096  # contexts cut at a time
 CUT = "context long, anchor long, root long, lead int, n long, origin long, lo int, hi int, text binary"
 
 
@@ -261,19 +261,26 @@ def _cut(docs: DataFrame, wanted: DataFrame, s: RepeatSettings) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, keys = batch.column("_parts"), batch.column("text"), batch.column("_row_key")
-            others = batch.column("_text_key")
-            for k in range(len(rows)):
-                data = (texts[k].as_py() or "").encode()
-                origin = int(mix(np.array([keys[k].as_py(), others[k].as_py()], np.int64).view(np.uint64)).sum())
-                out = []
-                for p in rows[k].as_py():
-                    start = origin + p["place"]
-                    out.append((p["context"], p["anchor"], p["anchor"], p["lead"], p["n"], _signed(start), p["lead"], p["lead"] + s.anchor, data[p["place"] : p["place"] + p["size"]]))
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
-                yield pa.RecordBatch.from_pandas(frame, cut_schema, preserve_index=False)
+            parts = batch.column("_parts")
+            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+            keys = [batch.column(c).to_numpy().view(np.uint64) for c in ("_row_key", "_text_key")]
+            origin = (mix(keys[0]) + mix(keys[1]))[row]
+            flat = parts.flatten()
+            place, size, lead = (flat.field(c).to_numpy().astype(np.int64) for c in ("place", "size", "lead"))
+            origin = (origin + place.astype(np.uint64)).view(np.int64)
+            for low in range(0, len(row), CUTS):
+                here = slice(low, low + CUTS)
+                ends = np.concatenate([[0], np.cumsum(size[here])])
+                at = np.arange(ends[-1]) + np.repeat(edges[row[here]] + place[here] - ends[:-1], size[here])
+                text = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
+                context, anchor, n = (flat.field(c).slice(low, CUTS) for c in ("context", "anchor", "n"))
+                first = lead[here].astype(np.int32)
+                columns = [context, anchor, anchor, pa.array(first), n, pa.array(origin[here]), pa.array(first), pa.array(first + np.int32(s.anchor)), text]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CUT.split(", ")])
 
-    cut_schema = pa.schema([("context", pa.int64()), ("anchor", pa.int64()), ("root", pa.int64()), ("lead", pa.int32()), ("n", pa.int64()), ("origin", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
     return docs.join(per_row, ["_row_key", "_text_key"]).mapInArrow(cut, CUT)
 
 
@@ -314,22 +321,28 @@ def _longer_anchors(s: RepeatSettings):
 def _match(parts: DataFrame, s: RepeatSettings) -> DataFrame:
     """context, spans: what of each context starts elsewhere too. parts has the columns of CUT; anchor is the group."""
 
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows["text"].to_list()
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        groups = np.unique(rows["anchor"].to_numpy(), return_inverse=True)[1]
-        found = repeated_starts(data, starts, groups, rows["origin"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy() > 1, s.length)
+    def match(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        texts = rows.column("text").combine_chunks().cast(pa.large_binary())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        starts = edges - edges[0]
+        context, anchor, origin, n = (rows.column(c).to_numpy() for c in ("context", "anchor", "origin", "n"))
+        groups = np.unique(anchor, return_inverse=True)[1]
+        found = repeated_starts(data, starts, groups, origin.view(np.uint64), n > 1, s.length)
         owner = np.searchsorted(starts, found, "right") - 1
-        out = []
-        for own in np.split(np.arange(len(found)), np.flatnonzero(np.diff(owner)) + 1):
-            if len(own):
-                k = owner[own[0]]
-                at = found[own] - starts[k]
-                out.append((rows["context"].iloc[k], [{"a": a, "b": b} for a, b in merged(at, at + s.length)]))
-        return pd.DataFrame(out, columns=["context", "spans"])
-
-    return parts.groupBy("bucket").applyInPandas(match, f"context long, spans {SPANS}")
+        # strings of one length in order: a span ends where the next one starts behind it, or in another context
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (found[1:] > found[:-1] + s.length)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(found)) - 1 if len(found) else first
+        of, begin, end = owner[first], found[first] - starts[owner[first]], found[last] + s.length - starts[owner[first]]
+        own, counts = np.unique(of, return_counts=True)
+        spans = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["a", "b"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)
+        return pa.table({"context": context[own], "spans": lists})
+
+    return parts.groupBy("bucket").applyInArrow(match, f"context long, spans {SPANS}")
 
 
 def repeated_spans(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> DataFrame:
