@@ -207,7 +207,7 @@ MESSAGES = {
     "links.good": "There is a good number of internal links",
     "links.many": "There are more than twenty internal links",
     "links.add": "Link to other pages of the site",
-    "links.add_more": "Add internal links",
+    "links.add_more": "More of the other pages could be linked from here",
     "links.reduce": "Keep only the relevant internal links",
     "images.good": "No image is without an alternative text",
     "images.critical": "A great many images lack alt text",

@@ -19,6 +19,9 @@ from auditloom.session import checkpoint
 from auditloom.sources.keyed_store import KeyedStore
 
 
+BUCKETS = 64  # of a store, by default: a batch reads those that its keys are in; the same for a stream and its readers
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -39,8 +42,11 @@ CLOCK = StructType([StructField("newest", LongType()), StructField("late", LongT
 STATES = StructType([StructField("client", StringType()), StructField("blocked", LongType())])
 
 
-def _client_states(spark: SparkSession, path: str) -> KeyedStore:
-    return KeyedStore(spark, f"{path}/states", ["client"], STATES, lambda rows: rows.groupBy("client").agg(F.max("blocked").alias("blocked")))
+def _client_states(spark: SparkSession, path: str, buckets: int) -> KeyedStore:
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("client").agg(F.max("blocked").alias("blocked"))
+
+    return KeyedStore(spark, f"{path}/states", ["client"], STATES, last, buckets)
 
 
 def _decided(due: DataFrame, states: DataFrame, seconds: int) -> DataFrame:
@@ -52,7 +58,8 @@ def _decided(due: DataFrame, states: DataFrame, seconds: int) -> DataFrame:
 
 
 def cooldown_stream(
-    requests: DataFrame, path: str, checkpoint_dir: str, seconds: int = TTL_SECONDS, lateness: int = 600, trigger: dict | None = None
+    requests: DataFrame, path: str, checkpoint_dir: str, seconds: int = TTL_SECONDS, lateness: int = 600, trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Admit the requests of a stream (client, ts, event_id: long) as they become due.
 
@@ -83,7 +90,7 @@ def cooldown_stream(
         closing = F.lit(None).cast("long") if newest is None else F.lit(newest - lateness * 1_000_000)
         is_due = F.coalesce(F.col("at") < closing, F.lit(False))
         _write_batch(open_rows.where(~is_due), f"{path}/pending", batch_id)
-        states, due = _client_states(spark, path), checkpoint(open_rows.where(is_due))
+        states, due = _client_states(spark, path, buckets), checkpoint(open_rows.where(is_due))
         admitted = checkpoint(_decided(due, states.of(due, batch_id), seconds))
         _write_batch(admitted, f"{path}/admitted", batch_id)
         blocked = admitted.groupBy("client").agg((F.max("at") + seconds * 1_000_000).alias("blocked"))
@@ -92,12 +99,12 @@ def cooldown_stream(
     return _start(requests, on_batch, checkpoint_dir, trigger)
 
 
-def read_admitted(spark: SparkSession, path: str, seconds: int = TTL_SECONDS, ended: bool = False) -> DataFrame:
+def read_admitted(spark: SparkSession, path: str, seconds: int = TTL_SECONDS, ended: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Admitted requests (client, at, event_id); ended: those still pending are decided as if no more came."""
     out = spark.read.schema(REQUESTS).parquet(f"{path}/admitted").select(*REQUESTS.names)
     if not ended:
         return out
-    states = _client_states(spark, path)
+    states = _client_states(spark, path, buckets)
     n = states.batches()
     pending = spark.read.schema(REQUESTS).parquet(f"{path}/pending/batch_id={n - 1}")
     return out.unionByName(_decided(pending, states.of(pending, n), seconds).select(*REQUESTS.names))
@@ -115,16 +122,16 @@ def late_count(spark: SparkSession, path: str) -> int:
 # ---- job state ----
 
 
-def _job_states(spark: SparkSession, path: str, schema: StructType) -> KeyedStore:
-    return KeyedStore(spark, f"{path}/parts", ["job_id"], schema, fold_parts)
+def _job_states(spark: SparkSession, path: str, schema: StructType, buckets: int) -> KeyedStore:
+    return KeyedStore(spark, f"{path}/parts", ["job_id"], schema, fold_parts, buckets)
 
 
-def job_state_stream(events: DataFrame, path: str, checkpoint_dir: str, trigger: dict | None = None) -> StreamingQuery:
+def job_state_stream(events: DataFrame, path: str, checkpoint_dir: str, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Keep the last value of each column of each job; `read_job_state` gives them. A batch writes its own jobs only."""
     schema = latest_parts(_like(events)).schema
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        _job_states(batch.sparkSession, path, schema).put(latest_parts(batch), batch_id)
+        _job_states(batch.sparkSession, path, schema, buckets).put(latest_parts(batch), batch_id)
 
     return _start(events, on_batch, checkpoint_dir, trigger)
 
@@ -134,9 +141,9 @@ def _like(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.createDataFrame([], stream.schema)
 
 
-def read_job_state(spark: SparkSession, path: str, events: StructType, jobs: DataFrame | None = None) -> DataFrame:
+def read_job_state(spark: SparkSession, path: str, events: StructType, jobs: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """One row per job, from the store of a stream of such events; jobs (job_id): only those, other buckets are not read."""
-    store = _job_states(spark, path, latest_parts(spark.createDataFrame([], events)).schema)
+    store = _job_states(spark, path, latest_parts(spark.createDataFrame([], events)).schema, buckets)
     return merge_parts(store.table() if jobs is None else store.of(jobs, store.batches()))
 
 
@@ -152,16 +159,16 @@ def _newest(captures: DataFrame, *more: str) -> DataFrame:
 ROLLED = ("scores", "unreachable", "semantic")
 
 
-def _page_store(spark: SparkSession, path: str, schema: StructType) -> KeyedStore:
-    return KeyedStore(spark, f"{path}/pages", ["site_id"], schema, lambda rows: _newest(rows, "batch_id"))
+def _page_store(spark: SparkSession, path: str, schema: StructType, buckets: int) -> KeyedStore:
+    return KeyedStore(spark, f"{path}/pages", ["site_id"], schema, lambda rows: _newest(rows, "batch_id"), buckets)
 
 
-def _report_store(spark: SparkSession, path: str, schema: StructType) -> KeyedStore:
+def _report_store(spark: SparkSession, path: str, schema: StructType, buckets: int) -> KeyedStore:
     def last(rows: DataFrame) -> DataFrame:
         newest = Window.partitionBy("site_id").orderBy(F.desc("batch_id"))
         return rows.withColumn("_last", F.row_number().over(newest)).where("_last = 1").drop("_last")
 
-    return KeyedStore(spark, f"{path}/reports", ["site_id"], schema, last)
+    return KeyedStore(spark, f"{path}/reports", ["site_id"], schema, last, buckets)
 
 
 def _tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -176,6 +183,7 @@ def page_audit_stream(
     checkpoint_dir: str,
     embed=embed_with_bag,
     trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Parse and score arriving captures (with site_id and crawl_pos) once and refresh the reports of their sites.
 
@@ -200,25 +208,26 @@ def page_audit_stream(
         rows = arrived.drop("html").withColumn("batch_id", F.lit(batch_id))
         for name, part in parts.items():
             rows = rows.join(part.select("site_id", "page_id", F.struct(*part.columns).alias(name)), ["site_id", "page_id"], "left")
-        store = _page_store(spark, path, rows.schema)
+        store = _page_store(spark, path, rows.schema, buckets)
         store.put(rows, batch_id)
         touched = arrived.select("site_id").distinct()
         current, *tables = _tables(checkpoint(store.of(touched, batch_id + 1)))
         report = site_report(sites.join(touched, "site_id", "left_semi"), current, tables[0], tables[1].drop("page_id"), tables[2])
         report = report.withColumn("batch_id", F.lit(batch_id))
-        _report_store(spark, path, report.schema).put(report, batch_id)
+        _report_store(spark, path, report.schema, buckets).put(report, batch_id)
         for name, df in (("pages", rows), ("reports", report)):
             spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/schemas/{name}")
 
     return _start(captures, on_batch, checkpoint_dir, trigger)
 
 
-def read_latest_reports(spark: SparkSession, path: str) -> DataFrame:
+def read_latest_reports(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
     """The newest report of every site."""
-    return _report_store(spark, path, spark.read.parquet(f"{path}/schemas/reports").schema).table().drop("batch_id")
+    return _report_store(spark, path, spark.read.parquet(f"{path}/schemas/reports").schema, buckets).table().drop("batch_id")
 
 
-def read_latest_details(spark: SparkSession, path: str) -> DataFrame:
+def read_latest_details(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
     """The pages of every site as of its newest report."""
-    _, scores, unreachable, semantic = _tables(_page_store(spark, path, spark.read.parquet(f"{path}/schemas/pages").schema).table())
+    pages = _page_store(spark, path, spark.read.parquet(f"{path}/schemas/pages").schema, buckets).table()
+    _, scores, unreachable, semantic = _tables(pages)
     return page_details(scores, unreachable.drop("page_id"), semantic)

@@ -35,6 +35,39 @@ def test_robots_match_the_standard_library(spark):
     assert allowing == want | {t for h, t in targets if h == "missing.example"}
 
 
+def test_robots_of_a_host_with_many_rules(spark):
+    n = 100_000
+    lines = [f"{'Allow' if i % 3 == 0 else 'Disallow'}: /d{i % 300}/p{i}" for i in range(n)]
+    robots = spark.createDataFrame([("big.example", "User-agent: *\n" + "\n".join(lines))], "host string, body string")
+    wanted = [(i, f"https://big.example/d{i % 300}/p{i}/x") for i in range(0, n, 997)] + [(-1, "https://big.example/none")]
+    links = spark.createDataFrame(wanted, "k int, target string")
+    got = {r.k for r in L.robots_filter(links, robots, AGENT).collect()}
+
+    def first(i):
+        # the shortest rule line that is a prefix comes first: /d1/p1 before /d1/p12
+        path = f"/d{i % 300}/p{i}"
+        return min((j for j in {int(str(i)[:k]) for k in range(1, len(str(i)) + 1)} if path.startswith(f"/d{j % 300}/p{j}")), default=None)
+
+    assert got == {-1} | {i for i, _ in wanted if i >= 0 and first(i) % 3 == 0}
+    rules, lengths = L.prefix_rules(robots, AGENT)
+    assert rules.count() == n and lengths.first().lengths == sorted({len(x.split(": ")[1]) for x in lines})
+
+
+def test_every_document_and_turn_is_in_a_derived_page(spark):
+    from auditloom.plans import fixtures as X
+
+    folder = "/root/testdata/sf0.001"
+    pages = X.table(spark, folder, X.ENRICHED_PAGES)
+    got = pages.selectExpr("sum(regexp_count(html, '<h2>'))", "sum(regexp_count(html, '\"@type\":\"Question\"') - CAST(page_id % 6 IN (4, 5) AS INT))").first()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").count()
+    pairs = spark.read.parquet(f"{folder}/conversations.parquet").selectExpr("conv_id", "turn - turn % 2").distinct().count()
+    assert tuple(got) == (docs, pairs)
+    letters = "[^A-Za-z\u00c0-\u024f]"
+    text = spark.read.parquet(f"{folder}/documents.parquet").selectExpr(f"sum(length(regexp_replace(text, '{letters}', '')))").first()[0]
+    body = pages.selectExpr(f"sum(length(regexp_replace(array_join(regexp_extract_all(html, '</h2><p>([^<]*)</p>', 1), ''), '{letters}', '')))").first()[0]
+    assert body == text
+
+
 def test_new_links(spark):
     links = spark.createDataFrame(
         [(0, 1, 4, "x"), (0, 0, 9, "x"), (0, 0, 2, "y"), (1, 0, 0, "x")], "site_id int, crawl_pos int, pos int, target string"

@@ -90,9 +90,9 @@ def test_cooldown_in_three_batches_equals_batch(spark):
     rows = sorted(requests(1), key=lambda r: r[1])
     folder = scratch_folder(spark)
     stream = in_batches(spark, folder, [rows[:200], rows[200:400], rows[400:]], REQUESTS)
-    ST.cooldown_stream(stream, f"{folder}/out", f"{folder}/state", 300, 0).awaitTermination()
+    ST.cooldown_stream(stream, f"{folder}/out", f"{folder}/state", 300, 0, buckets=3).awaitTermination()
     want = admitted(admitted_requests(spark.createDataFrame(rows, REQUESTS), 300))
-    assert admitted(ST.read_admitted(spark, f"{folder}/out", 300, ended=True)) == want
+    assert admitted(ST.read_admitted(spark, f"{folder}/out", 300, ended=True, buckets=3)) == want
     assert ST.late_count(spark, f"{folder}/out") == 0 == ST.read_late(spark, f"{folder}/out").count()
 
 
@@ -101,8 +101,8 @@ def test_cooldown_of_rows_out_of_order(spark):
     arriving = sorted(rows, key=lambda r: r[1] + timedelta(seconds=rng.randrange(500)))
     folder = scratch_folder(spark)
     stream = in_batches(spark, folder, [arriving[k : k + 120] for k in range(0, 600, 120)], REQUESTS)
-    ST.cooldown_stream(stream, f"{folder}/out", f"{folder}/state", 300, 600).awaitTermination()
-    assert admitted(ST.read_admitted(spark, f"{folder}/out", 300, ended=True)) == admitted(admitted_requests(spark.createDataFrame(rows, REQUESTS), 300))
+    ST.cooldown_stream(stream, f"{folder}/out", f"{folder}/state", 300, 600, buckets=3).awaitTermination()
+    assert admitted(ST.read_admitted(spark, f"{folder}/out", 300, ended=True, buckets=3)) == admitted(admitted_requests(spark.createDataFrame(rows, REQUESTS), 300))
     assert ST.late_count(spark, f"{folder}/out") == 0
 
 
@@ -111,10 +111,10 @@ def test_late_requests_are_kept_and_counted(spark):
     late = [("hot", START, 1000), ("a", START + timedelta(seconds=10), 1001), ("a", None, 1002)]
     folder = scratch_folder(spark)
     stream = in_batches(spark, folder, [rows[:250], rows[250:] + late, late[:1]], REQUESTS)
-    ST.cooldown_stream(stream, f"{folder}/out", f"{folder}/state", 300, 60).awaitTermination()
+    ST.cooldown_stream(stream, f"{folder}/out", f"{folder}/state", 300, 60, buckets=3).awaitTermination()
     assert ST.late_count(spark, f"{folder}/out") == 4
     assert sorted(r.event_id for r in ST.read_late(spark, f"{folder}/out").collect()) == [1000, 1000, 1001, 1002]
-    assert admitted(ST.read_admitted(spark, f"{folder}/out", 300, ended=True)) == admitted(admitted_requests(spark.createDataFrame(rows, REQUESTS), 300))
+    assert admitted(ST.read_admitted(spark, f"{folder}/out", 300, ended=True, buckets=3)) == admitted(admitted_requests(spark.createDataFrame(rows, REQUESTS), 300))
 
 
 # ---- job state ----
@@ -125,11 +125,11 @@ def test_job_state_over_batches(spark):
     schema = "job_id string, ts timestamp, event_id long, status string, url string"
     folder = scratch_folder(spark)
     stream = in_batches(spark, folder, [rows[k : k + 10] for k in range(0, 60, 10)], schema)
-    ST.job_state_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    ST.job_state_stream(stream, f"{folder}/out", f"{folder}/state", buckets=3).awaitTermination()
     df = spark.createDataFrame(rows, schema)
     want = sorted(map(tuple, J.job_latest_state(df).collect()))
-    assert sorted(map(tuple, ST.read_job_state(spark, f"{folder}/out", df.schema).collect())) == want
-    one = ST.read_job_state(spark, f"{folder}/out", df.schema, spark.createDataFrame([("j3",)], "job_id string"))
+    assert sorted(map(tuple, ST.read_job_state(spark, f"{folder}/out", df.schema, buckets=3).collect())) == want
+    one = ST.read_job_state(spark, f"{folder}/out", df.schema, spark.createDataFrame([("j3",)], "job_id string"), buckets=3)
     assert [tuple(r) for r in one.collect()] == [r for r in want if r[0] == "j3"]
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", one._jdf.queryExecution().toString())
 
@@ -154,11 +154,11 @@ def test_page_audit_over_ten_batches_with_recaptures(spark, n_batches):
     folder = scratch_folder(spark)
     sites = spark.createDataFrame([(k, f"u{k}") for k in range(3)], "site_id int, url string")
     stream = in_batches(spark, folder, batches, schema)
-    ST.page_audit_stream(stream, sites, f"{folder}/out", f"{folder}/state").awaitTermination()
+    ST.page_audit_stream(stream, sites, f"{folder}/out", f"{folder}/state", buckets=3).awaitTermination()
     audit = audit_pages(sites, spark.createDataFrame(list(last.values()), schema))
     for got, want, order in (
-        (ST.read_latest_reports(spark, f"{folder}/out"), audit.report, ["site_id"]),
-        (ST.read_latest_details(spark, f"{folder}/out"), audit.details, ["site_id", "crawl_pos"]),
+        (ST.read_latest_reports(spark, f"{folder}/out", 3), audit.report, ["site_id"]),
+        (ST.read_latest_details(spark, f"{folder}/out", 3), audit.details, ["site_id", "crawl_pos"]),
     ):
         got, want = ([r.asDict(True) for r in df.orderBy(*order).collect()] for df in (got, want))
         assert got == want
