@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.store import stored
+from auditloom.llm.store import own_columns_aside, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEP_BITS = 12
@@ -145,8 +145,10 @@ def mix_sources(
     )
 
 
+@own_columns_aside("doc_id", "text", "source")
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix with all their columns, and mix_copies: how often each enters it. Others go."""
+    """The documents of the mix with all their columns, and mix_copies (instead of an own column of that name): how often each
+    enters it. Others go."""
     chosen = mix_sources(docs, **settings).where("copies > 0")
     # rows alike in id and text share a place, a source and so a decision
     key = chosen.groupBy(F.col("place").alias("mix_place"), F.col("source").alias("mix_source")).agg(F.max("copies").alias("mix_copies"))

@@ -75,7 +75,7 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_tree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return cover_tree.near_vectors(bound_batches(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES: dict[str, Query] = {

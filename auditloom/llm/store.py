@@ -1,10 +1,14 @@
 """Intermediate tables in the folder all executors share."""
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.session import ship_package
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where nobody set it, a folder of this session's own on one machine, and an error on a cluster,
@@ -29,8 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Fewer rows per Arrow batch than Spark's default: whole texts are long, and a task holds a few batches at once."""
+    """Fewer rows per Arrow batch than Spark's default: whole texts are long, and a task holds a few batches at once.
+
+    Executors get this package, too.
+    """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
     return spark
+
+
+def own_columns_aside(*used: str) -> Callable:
+    """For a function from documents to documents: columns it doesn't use go through it under names that clash with none
+    of its own. A column that it adds replaces one of the same name."""
+
+    def wrap(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(function)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            mark = uuid.uuid4().hex  # functions of this kind may call each other
+            aside = {c: f"own {mark} {k}" for k, c in enumerate(docs.columns) if c not in used}
+            out = function(docs.withColumnsRenamed(aside), *args, **options)
+            replaced = [name for c, name in aside.items() if c in out.columns]
+            return out.drop(*replaced).withColumnsRenamed({name: c for c, name in aside.items() if name not in replaced})
+
+        return run
+
+    return wrap

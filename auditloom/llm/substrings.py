@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.store import stored
+from auditloom.llm.store import own_columns_aside, stored
 from auditloom.llm.words import Texts, mix, span_hash, text_blocks
 
 SYMBOLS = 6  # bytes, or terminators, that one number holds
@@ -430,6 +430,7 @@ def _split(parts: DataFrame, s: RepeatSettings) -> tuple[DataFrame, DataFrame, D
     return small, found, where
 
 
+@own_columns_aside("doc_id", "text")
 def with_repeats(docs: DataFrame, column: str = "repeats", s: RepeatSettings = RepeatSettings()) -> DataFrame:
     """docs and one more column, array<struct<a, b>>: the spans of bytes of each whole text, in UTF-8, that are covered
     by a string of s.length bytes which also starts anywhere else in docs, the same text included. Null: none.
@@ -483,6 +484,7 @@ def remaining_text(text: Column, spans: Column) -> Column:
     return remaining.asNondeterministic()(text, spans)
 
 
+@own_columns_aside("doc_id", "text")
 def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), changed: str | None = None) -> DataFrame:
     """docs with repeated bytes taken out of text; a text of which no word is left goes, a text that had none stays.
 

@@ -16,4 +16,4 @@ EDGE_ROWS = [
     (9, "x" * 200_000, None, "c", 200_000),
 ]
 # names that operators use for columns of their own
-CLASHES = ["score", "size", "key", "class", "target", "row_key", "anchor", "spans", "place", "chunk", "copies", "language", "repeats", "n_words"]
+CLASHES = ["score", "size", "key", "class", "target", "row_key", "anchor", "spans", "place", "chunk", "copies", "language", "repeats", "n_words", "_row_key", "_text_key", "__spans", "__left", "mix_place", "mix_source", "mix_copies", "__near_row", "__near_text", "chosen"]

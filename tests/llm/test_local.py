@@ -257,3 +257,6 @@ def test_similar_texts_share_a_rare_token():
         uses = rng.integers(0, 50, 1 << near_dups.RARITY_BITS)
         left, right = (near_dups.rare_tokens(x, uses, 0.8) for x in (a, b))
         assert np.isin(left, right).any()
+        one, other = near_dups.signature(a), near_dups.signature(b)
+        lost = [sum(int(x).bit_count() for x in (p & ~q).view(np.uint64)) for p, q in ((one, other), (other, one))]
+        assert max(lost) <= int(0.2 * max(len(a), len(b)) + 1e-6)
