@@ -1,13 +1,34 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, the shared checkpoint folder, and this package on the executors."""
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application: Python tasks import it there. Local mode has it."""
+    context = spark.sparkContext
+    one_machine = context.master == "local" or context.master.startswith("local[")
+    if not one_machine and context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the results depend on. Sizes and parallelism are left to the cluster."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # the last of duplicate JSON keys wins
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
