@@ -198,14 +198,22 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, or
     return np.sort(at[np.repeat((low != high) | twice, sizes)])
 
 
-def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Union of spans."""
-    if not len(begin):
-        return []
-    by = np.argsort(begin, kind="stable")
-    begin, end = begin[by], np.maximum.accumulate(end[by])
-    cut = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
-    return list(zip(begin[cut].tolist(), end[np.append(cut[1:], len(begin)) - 1].tolist(), strict=True))
+def united(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the spans (a, b) of each row: begins, ends, and where each row's part of them starts. Null has none."""
+    counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    begin, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    owner = np.repeat(np.arange(len(spans)), counts)
+    by = np.lexsort((begin, owner))
+    begin, end = begin[by], end[by]
+    # the furthest end so far; rows lie further apart than any end
+    apart = owner * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(apart + end)
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (begin[1:] + apart[1:] > reach[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(owner)) - 1 if len(owner) else first
+    return begin[first], (reach - apart)[last], np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(spans)))])
 
 
 # ---- Spark ----
@@ -385,11 +393,9 @@ def _united():
 
     @F.arrow_udf(SPANS)
     def unite(spans: pa.Array) -> pa.Array:
-        out = []
-        for own in spans.to_pylist():
-            runs = merged(np.array([x["a"] for x in own]), np.array([x["b"] for x in own])) if len(own) > 1 else [(x["a"], x["b"]) for x in own]
-            out.append([{"a": a, "b": b} for a, b in runs])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        begin, end, edges = united(spans)
+        parts = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), parts)
 
     return unite
 
@@ -445,30 +451,27 @@ def with_repeats(docs: DataFrame, column: str = "repeats", s: RepeatSettings = R
     return rows.join(spans, ["_row_key", "_text_key"], "left").select(*[c for c in docs.columns if c != column], column)
 
 
-def kept_bytes(text: str | None, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """What is left of a text, bytes removed, and runs removed."""
-    data = (text or "").encode()
-    if not spans:
-        return data, 0, 0
-    runs = merged(np.array([x["a"] for x in spans]), np.array([x["b"] for x in spans]))
-    left, at = [], 0
-    for a, b in runs:
-        left.append(data[at:a])
-        at = b
-    return b"".join([*left, data[at:]]), sum(b - a for a, b in runs), len(runs)
+def kept_bytes(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, int, int]]:
+    """What is left of each text, bytes removed, and runs removed."""
+    begin, end, edges = (x.tolist() for x in united(spans))
+    for text, low, high in zip(texts, edges[:-1], edges[1:], strict=True):
+        data = (text.as_py() or "").encode()
+        left, at = [], 0
+        for a, b in zip(begin[low:high], end[low:high], strict=True):
+            left.append(data[at:a])
+            at = b
+        yield b"".join([*left, data[at:]]) if left else data, sum(end[low:high]) - sum(begin[low:high]), high - low
 
 
 def removal_digest(text: Column, spans: Column) -> Column:
     """struct<n_bytes, n_removed, n_spans, kept_sha256> of a text and its repeated spans."""
-    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     @F.arrow_udf("struct<n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string>")
     def digest(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            left, removed, runs = kept_bytes(t.as_py(), s.as_py())
-            out.append({"n_bytes": len(left) + removed, "n_removed": removed, "n_spans": runs, "kept_sha256": hashlib.sha256(left).hexdigest()})
-        return pa.array(out, kind)
+        out = [(len(left) + removed, removed, runs, hashlib.sha256(left).hexdigest()) for left, removed, runs in kept_bytes(texts, spans)]
+        columns = list(zip(*out, strict=True)) or [[]] * len(names)
+        return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names)
 
     return digest(text, spans)
 
@@ -478,7 +481,7 @@ def remaining_text(text: Column, spans: Column) -> Column:
 
     @F.arrow_udf("string")
     def remaining(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        left = [kept_bytes(t.as_py(), s.as_py())[0].decode(errors="ignore") if t.is_valid else None for t, s in zip(texts, spans, strict=True)]
+        left = [left.decode(errors="ignore") if t.is_valid else None for t, (left, _, _) in zip(texts, kept_bytes(texts, spans), strict=True)]
         return pa.array(left, pa.string())
 
     return remaining.asNondeterministic()(text, spans)
