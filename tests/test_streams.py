@@ -2,6 +2,7 @@
 
 import random
 import re
+import shutil
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from auditloom.operators import jobs as J
 from auditloom.operators.cooldown import admitted_requests
 from auditloom.plans.audit import audit_pages
+from auditloom.plans.catalog import QUERIES
 from auditloom.session import scratch_folder
 from auditloom.sources.keyed_store import KeyedStore
 from auditloom.streaming import streams as ST
@@ -162,3 +164,15 @@ def test_page_audit_over_ten_batches_with_recaptures(spark, n_batches):
     ):
         got, want = ([r.asDict(True) for r in df.orderBy(*order).collect()] for df in (got, want))
         assert got == want
+
+
+@pytest.mark.parametrize("as_folder", [True, False])
+def test_streams_read_tables_in_one_file_or_many(spark, tmp_path, as_folder):
+    pages = spark.createDataFrame([(k, f"https://s.example/p{k}", HTML.format("word", k, "more ")) for k in range(9)], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    if not as_folder:
+        pages.coalesce(1).write.parquet(str(tmp_path / "one"))
+        (tmp_path / "alone").mkdir()
+        shutil.copy(next((tmp_path / "one").glob("*.parquet")), tmp_path / "alone" / "pages.parquet")
+    rows = QUERIES["stream_page_audit"](spark, str(tmp_path if as_folder else tmp_path / "alone")).collect()
+    assert sorted((r.site_id, r.pages_crawled) for r in rows) == [(0, 2), *[(k, 1) for k in range(1, 8)]]
