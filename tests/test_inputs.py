@@ -2,6 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from auditloom.operators import tokens as K
+from auditloom.operators.extract import parse_pages
 from auditloom.plans import fixtures as X
 
 
@@ -16,3 +20,18 @@ def test_cleaning_lists_its_characters_and_keeps_the_same_ones(spark):
         want = re.sub("  +", " ", re.sub(X.PLAIN, " ", f"x {chr(r.p)}{chr(r.p)}  y")).strip(" ")
         assert r.got == want, r
 
+
+def test_parsing_tasks_grow_in_number_with_the_files_read(spark, tmp_path, monkeypatch):
+    pages = [(k, f"https://s.example/p{k}", f"<title>t {k}</title><body><p>{'some words ' * (k % 7)}</p></body>") for k in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages"))
+    read = spark.read.parquet(str(tmp_path / "pages"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pages").glob("*.parquet"))
+    columns = ["page_id", "title", "body_text_content"]
+    want = sorted(map(tuple, parse_pages(read).select(columns).collect()))
+    monkeypatch.setattr(K, "TASK_BYTES", -(-size // 40))
+    assert 38 <= K.cluster_pages(read).rdd.getNumPartitions() <= 40
+    got = parse_pages(read).select(columns)
+    assert sorted(map(tuple, got.collect())) == want
+    # what is not read from files is dealt as before
+    assert K.cluster_pages(spark.createDataFrame(pages, read.schema)).rdd.getNumPartitions() <= 8
+    assert got.groupBy("page_id").agg(F.count("*").alias("n")).where("n <> 1").count() == 0
