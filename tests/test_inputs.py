@@ -1,9 +1,13 @@
 """Inputs that grow: how they are made and dealt to tasks."""
 
+import hashlib
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from auditloom.operators import semantic as M
 from auditloom.operators import tokens as K
 from auditloom.operators.extract import parse_pages
 from auditloom.plans import fixtures as X
@@ -35,3 +39,19 @@ def test_parsing_tasks_grow_in_number_with_the_files_read(spark, tmp_path, monke
     # what is not read from files is dealt as before
     assert K.cluster_pages(spark.createDataFrame(pages, read.schema)).rdd.getNumPartitions() <= 8
     assert got.groupBy("page_id").agg(F.count("*").alias("n")).where("n <> 1").count() == 0
+
+
+def test_bag_vector_counts_every_first_byte(spark):
+    words = [f"w{k}" for k in range(3000)] + ["Éa", "日本", "é"]
+    texts = [" ".join(words), "", " \t", None, "one", "One one", *words[:300], *words[-3:]]
+    assert len({hashlib.md5(w.encode()).digest()[0] for w in words}) == 256
+    column = M.bag_vector(F.col("text"))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    for r in df.select("k", column.alias("got")).collect():
+        counts = [0] * M.DIMENSIONS
+        for w in (texts[r.k] or "").lower().split():
+            counts[hashlib.md5(w.encode()).digest()[0] % M.DIMENSIONS] += 1
+        norm = sum(c * c for c in counts) ** 0.5
+        assert r.got == pytest.approx([c / norm if norm else 0.0 for c in counts], abs=1e-6)
+    # no number is made of each word any more
+    assert "conv(" not in df.select(column)._jdf.queryExecution().optimizedPlan().toString()
