@@ -260,3 +260,31 @@ def test_similar_texts_share_a_rare_token():
         one, other = near_dups.signature(a), near_dups.signature(b)
         lost = [sum(int(x).bit_count() for x in (p & ~q).view(np.uint64)) for p, q in ((one, other), (other, one))]
         assert max(lost) <= int(0.2 * max(len(a), len(b)) + 1e-6)
+
+
+def test_blocks_of_texts_find_what_pairs_of_texts_find():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 12, int(rng.integers(5, 30))).astype(np.uint32) for _ in range(31)]
+    texts += [np.where(rng.random(len(x)) < 0.1, 99, x).astype(np.uint32) for x in texts]
+    ids, classes = np.arange(62), np.arange(62) % 50
+    one, other = (near_dups.Block.of(ids[k::2], classes[k::2], texts[k::2]) for k in (0, 1))
+    got = set(map(tuple, near_dups.likely_pairs(one, other, 0.8).T.tolist()))
+    s = near_dups.NearSettings()
+    pairs = [(u, v) for u in range(62) for v in range(u + 1, 62) if (u + v) % 2 and classes[u] != classes[v]]
+    longer = {p: max(len(texts[p[0]]), len(texts[p[1]])) for p in pairs}
+    common = {p: near_dups.common_words(texts[p[0]], texts[p[1]]) >= longer[p] - int(0.2 * longer[p] + 1e-9) for p in pairs}
+    assert got == {p for p in pairs if common[p]}
+    alike = near_dups.similar([texts[u] for u, _ in pairs], [texts[v] for _, v in pairs], s)
+    assert {p for p, x in zip(pairs, alike, strict=True) if x} <= got and alike.any()
+
+
+def test_hopeless_alignments_are_given_up_but_no_other():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1000, (40, 200)).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < rng.random((40, 1)), 5000, a).astype(np.uint32)
+    n = np.full(40, 200)
+    whole = near_dups.banded_distance(a, b, n, n, 40)
+    most = np.full(40, 40)
+    some = near_dups.banded_distance(a, b, n, n, 40, most)
+    assert ((whole <= most) == (some <= most)).all() and (some[whole <= most] == whole[whole <= most]).all()
+    assert (whole <= most).any() and (some != whole).any()

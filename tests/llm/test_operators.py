@@ -415,3 +415,34 @@ def test_near_duplicate_edges(edge, no_rows):
     # rows without a letter or digit all stay
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, None, 3, 4, 5, 6, 7, 8, 9], key=str)
     assert near_dups.one_per_class(no_rows).count() == 0 and near_dups.near_duplicate_classes(no_rows).count() == 0
+
+
+def test_large_group_of_near_texts_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(100)]
+
+    def edited(n, tag):
+        out = list(base)
+        for k in rng.sample(range(100), n):
+            out[k] = f"{tag}x{k}"
+        return " ".join(out)
+
+    # two groups whose texts are alike within each and just not across: all pairs across share rare tokens
+    texts = [edited(4, f"a{k}") for k in range(40)]
+    base = [w if k % 8 else f"other{k}" for k, w in enumerate(base)]
+    texts += [edited(4, f"b{k}") for k in range(40)]
+    words = near_dups._word_lists([pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(texts)], ["id", "text"])])
+    lists = spark.createDataFrame([tuple(r.values()) for b in words for r in b.to_pylist()], "text_id long, words binary")
+    left = spark.createDataFrame([(k, 100, k // 40) for k in range(80)], "text_id long, n_words long, class long")
+    kept, stored = {}, near_dups.stored
+
+    def noted(df, name):
+        kept[name] = stored(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(near_dups, "stored", noted)
+    got = near_dups._rest(left, lists, near_dups.NearSettings()).collect()
+    # as many blocks as make few pairs, where texts would make 1,600
+    assert kept["near-held"].count() <= 20
+    common = {(u, v): len(set(texts[u].split()) & set(texts[v].split())) for u in range(40) for v in range(40, 80)}
+    assert {tuple(r) for r in got} == {p for p, n in common.items() if n >= 80}
