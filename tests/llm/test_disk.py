@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from auditloom.llm import ngram_lm
+from auditloom.llm import components, near_dups, ngram_lm, store
 from auditloom.llm.store import discard, shared_folder, stored
 
 
@@ -33,6 +33,16 @@ def test_shuffles_go_with_the_query_that_is_stored(spark):
     assert not os.path.exists(folder)
 
 
+def test_near_duplicates_keep_no_table_that_nothing_reads(spark, tmp_path, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join(words[:100] if k % 2 else [*words[100:], str(k)])) for k in range(40)]
+    monkeypatch.setattr(store, "shared_folder", lambda spark: str(tmp_path))
+    got = near_dups.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(k, 1 if k % 2 else 0) for k in range(40)}
+    assert left <= {"near-rows", "near-links", "near-classes", "near-placed", "components", "near-held", "near-met"}
+
+
 def test_lm_tables_hold_packed_counts(spark, monkeypatch):
     """No row for a word or an n-gram, but one for all that a chunk has in a bucket; and under 8 bytes for an n-gram on its way."""
     rng = np.random.default_rng(5)
@@ -69,3 +79,11 @@ def test_lm_lookups_and_packing():
     assert not facts.look(absent).any() and not ngram_lm.Facts(keys[:0], values[:0]).look(keys).any()
     assert ngram_lm.unpacked(ngram_lm.packed(keys), len(keys), np.uint64).tolist() == keys.tolist()
     assert ngram_lm.unpacked(ngram_lm.packed(values / 4), len(keys), np.float64).tolist() == (values / 4).tolist()
+
+
+def test_components_keep_their_last_table_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_folder", lambda spark: str(tmp_path))
+    links = spark.range(30).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = components.components(links).collect()
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(31)]
